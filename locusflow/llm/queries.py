@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from locusflow.llm.decontaminate import op7_ngram_decontamination
+from locusflow.llm.lm_scoring import op10_hmm_scores
+from locusflow.llm.pii import op5_weak_supervision_pii
+from locusflow.llm.secrets import op9_markov_secrets
 from locusflow.llm.sharding import op6_stratified_shards
+from locusflow.llm.simhash import op3_simhash_tiles
+from locusflow.llm.toxicity import op4_counterfactual_toxicity
 
 QUERIES = {
+    "op3_simhash_tiles": op3_simhash_tiles,
+    "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
+    "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_ngram_decontamination": op7_ngram_decontamination,
+    "op9_markov_secrets": op9_markov_secrets,
+    "op10_hmm_scores": op10_hmm_scores,
 }
 
 ORACLE: dict[str, str] = {}
