@@ -64,3 +64,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def neutral(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by position, so that no name clashes with an operator's own."""
+    return df.toDF(*[f"c{i}_" for i in range(len(df.columns))])
+
+
+def hash_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """About ``most`` rows of ``df``, chosen by the hash of ``key`` alone; all rows if there are no more.
+
+    A filter and not a top-k: no task sees more than its own rows.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * (most / n)))

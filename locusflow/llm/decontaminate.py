@@ -167,6 +167,31 @@ def _merged(name: str) -> Column:
     )
 
 
+def _hit_ids(docs: DataFrame, benchmark: DataFrame, max_broadcast: int, **options) -> DataFrame:
+    """``_hit_id, _spans`` of the rows with hits, marked for broadcast if they are few enough."""
+    got = contamination(docs, benchmark, max_broadcast=max_broadcast, **options).filter(F.size("spans") > 0)
+    hits = materialize(got.select(F.col("doc_id").alias("_hit_id"), F.col("spans").alias("_spans")), "hits")
+    return F.broadcast(hits) if hits.count() <= max_broadcast else hits
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 100_000, **options) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark. Of rows with one id all go if one is hit."""
+    hits = _hit_ids(docs, benchmark, max_broadcast, **options)
+    return docs.join(hits, docs[options.get("id_col", "doc_id")].eqNullSafe(hits["_hit_id"]), "left_anti")
+
+
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 100_000, **options) -> DataFrame:
+    """``docs`` with the hit words, and the gaps after them, cut out of the texts. Ids must be unique."""
+    text = options.get("text_col", "text")
+    hits = _hit_ids(docs, benchmark, max_broadcast, **options)
+    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    joined = docs.join(hits, docs[options.get("id_col", "doc_id")].eqNullSafe(hits["_hit_id"]), "left")
+    parts = F.split(text, rf"(?<={gap})(?!{gap})", -1)
+    lead = F.when(F.col(text).rlike(rf"^{gap}"), 0).otherwise(1)  # a leading gap is a part without a word
+    kept = F.filter(parts, lambda x, i: ~F.exists("_spans", lambda s: (i + lead >= s["first"]) & (i + lead <= s["last"])))
+    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).select(docs.columns)
+
+
 def op7_ngram_decontamination(spark, sf_dir: str) -> DataFrame:
     got = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.last - x.first + 1)")

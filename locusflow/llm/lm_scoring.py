@@ -7,7 +7,7 @@ per partition over all training texts, summed by Spark and normalised on the dri
 Texts are scored by the scaled forward recursion, exactly: long texts are cut into chunks whose transfer matrices are
 multiplied, which gives the same likelihood as one pass over the text.
 
-The ``head`` most frequent words (a fixed number) travel to every task; what the remaining words need is
+The most frequent words, ``head`` at most, travel to every task; what the remaining words need is
 joined by word, so that no word's rows are many.
 """
 
@@ -88,7 +88,14 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int, symbols: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "word").limit(head).select("word", "c").toPandas()
+    # the least count of a head word, from how many words have each count: no task has to rank all words
+    at_least, seen = 1, 0
+    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        seen += r["n"]
+        if seen > head:
+            at_least = r["c"] + 1
+            break
+    top = counts.filter(F.col("c") >= at_least).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     c = top["c"].to_numpy(dtype=np.int64)
     names = [w.encode() for w in top["word"]]
     own = min(symbols, len(names))

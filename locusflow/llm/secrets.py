@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import materialize, table
+from locusflow.llm._common import hash_sample, materialize, table
 from locusflow.llm._spans import digest, labelled, listing, with_matches
 
 # The base patterns. Equal to the contract's patterns, written without backtracking.
@@ -85,11 +85,11 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 
 
 def corpus_words(docs: DataFrame, id_col: str, text_col: str, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """``token, is_random, held_out``: words of letters only, as ordinary as they come, from at most ``max_texts`` texts.
+    """``token, is_random, held_out``: words of letters only, as ordinary as they come, from about ``max_texts`` texts.
 
-    The texts are those with the smallest hash of their id, so the choice depends on nothing else.
+    The texts are chosen by the hash of their id.
     """
-    some = docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", F.xxhash64("t")).limit(max_texts)
+    some = hash_sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), F.col("i"), max_texts)
     word = some.select(F.explode(F.split("t", r"[^A-Za-z]+")).alias("token")).filter(F.length("token").between(6, 40)).distinct()
     return word.select("token", F.lit(0).alias("is_random"), (F.pmod(F.xxhash64("token"), F.lit(5)) == 0).alias("held_out"))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import table
+from locusflow.llm._common import hash_sample, neutral, table
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -33,7 +33,7 @@ IDENTITY_TERMS = (
     "immigrants refugees foreigners natives migrants flüchtlinge ausländer réfugiés étrangers inmigrantes refugiados",
 )
 
-#: Bounds of what is learnt from: labelled rows (the smallest by hash of the id) and words.
+#: Bounds of what is learnt from: labelled rows (about so many, chosen by hash of the id) and words.
 MAX_LABELLED = 40_000
 MAX_WORDS = 1_000
 MIN_ROWS = 3
@@ -53,14 +53,13 @@ def held_out(id_col: str, modulus: int = 5) -> Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
-    """``t, y`` of at most ``max_rows`` labelled rows outside the held-out fold; of several labels the largest counts."""
+    """``t, y`` of about ``max_rows`` labelled rows at most, chosen by hash, outside the held-out fold; of several labels the largest counts."""
     some = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(max_rows)
     )
+    some = hash_sample(some, F.col("_id"), max_rows)
     text = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("t"))
     return text.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("t", "y")
 
@@ -207,11 +206,15 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the ``keep`` columns, ``held_out``, ``score``, ``predicted``.
 
-    Learns from at most ``max_labelled`` labelled rows outside the held-out fold. Null and empty texts have no words and
+    Learns from about ``max_labelled`` labelled rows at most, outside the held-out fold. Null and empty texts have no words and
     get the bias alone; null ids count as '' for the fold; labels that are null, or whose id is, are left out;
     repeated rows are scored each time; an empty table gives an empty result. Other columns play no part.
     """
     weights, bias = train(labelled_rows(docs, labels, id_col, text_col, label_col, max_labelled))
+    return apply_weights(docs, weights, bias, id_col, text_col, keep)
+
+
+def apply_weights(docs: DataFrame, weights: dict[bytes, float], bias: float, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))  # at most MAX_WORDS words and the identity terms
 
     def score(batches):
@@ -226,5 +229,14 @@ def score_toxicity(
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject. Columns as given, whatever their names."""
+    weights, bias = train(labelled_rows(docs, labels, "doc_id", "text", "toxic", MAX_LABELLED))
+    kept = neutral(docs.select(*docs.columns, "doc_id", "text"))
+    *carried, id_, body = kept.columns
+    scored = apply_weights(kept, weights, bias, id_, body, tuple(carried))
+    return scored.filter(F.col("predicted") == 0).select(*carried).toDF(*docs.columns)
+
+
 def op4_counterfactual_toxicity(spark, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
