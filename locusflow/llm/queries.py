@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from locusflow.llm.ann import op2_adaptive_scan
 from locusflow.llm.decontaminate import op7_ngram_decontamination
+from locusflow.llm.line_dedup import op8_fuzzy_lines
 from locusflow.llm.lm_scoring import op10_hmm_scores
+from locusflow.llm.mixing import op1_soft_mixture
 from locusflow.llm.pii import op5_weak_supervision_pii
 from locusflow.llm.secrets import op9_markov_secrets
 from locusflow.llm.sharding import op6_stratified_shards
@@ -11,11 +14,14 @@ from locusflow.llm.simhash import op3_simhash_tiles
 from locusflow.llm.toxicity import op4_counterfactual_toxicity
 
 QUERIES = {
+    "op1_soft_mixture": op1_soft_mixture,
+    "op2_adaptive_scan": op2_adaptive_scan,
     "op3_simhash_tiles": op3_simhash_tiles,
     "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_ngram_decontamination": op7_ngram_decontamination,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_markov_secrets": op9_markov_secrets,
     "op10_hmm_scores": op10_hmm_scores,
 }
