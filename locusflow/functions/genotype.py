@@ -65,7 +65,7 @@ def annotation_text(mode: Column, gene_id: Column, distance: Column) -> Column:
 def info_cells(n_sites: Column, annotated: Column, text: Column) -> Column:
     """A dot per site; the first cell holds the annotation where there is one."""
     dots = F.array_repeat(F.lit("."), n_sites.cast("int"))
-    return F.when(annotated & (n_sites > 0), F.concat(F.array(text), F.slice(dots, 2, 2147483647))).otherwise(dots)
+    return F.when(annotated & (n_sites > 0), F.concat(F.array(text), F.slice(dots, F.lit(2), F.greatest(n_sites.cast("int") - 1, F.lit(0))))).otherwise(dots)
 
 
 def slug(chrom: Column, start: Column, end: Column) -> Column:

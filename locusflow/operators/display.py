@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusflow.functions.genotype import annotation_text, hap_cells, info_cells
@@ -77,13 +78,13 @@ def region_titles(sites: DataFrame) -> DataFrame:
 
 def allele_tokens(cells: DataFrame) -> DataFrame:
     """``sel_ord, allele``: the distinct alleles in ``cells(sel_ord, cell)``; empty, ``NA`` and ``.`` do not count."""
-    token = F.trim(F.explode(F.split("cell", "[/,]")))
+    token = F.explode(F.transform(F.split("cell", "[/,]"), F.trim))
     return cells.select("sel_ord", token.alias("allele")).filter(~F.col("allele").isin("", "NA", ".")).distinct()
 
 
 def footnotes(sites: DataFrame) -> DataFrame:
     """``sel_ord, notes, footnote``: alleles longer than two characters in order, and ``i1:...; i2:...``."""
-    token = sites.select("sel_ord", F.trim(F.explode(F.split("allele", "[/,]"))).alias("t")).filter(F.char_length("t") > LONG_ALLELE)
+    token = sites.select("sel_ord", F.explode(F.transform(F.split("allele", "[/,]"), F.trim)).alias("t")).filter(F.char_length("t") > LONG_ALLELE)
     per = token.groupBy("sel_ord").agg(F.array_sort(F.collect_set("t")).alias("notes"))
     text = F.array_join(F.transform("notes", lambda t, i: F.concat(F.lit("i"), (i + 1).cast("string"), F.lit(":"), t)), "; ")
     return per.select("sel_ord", "notes", text.alias("footnote"))
@@ -118,10 +119,7 @@ def display_cells(counters: DataFrame, sites: DataFrame, summary: DataFrame, lab
     parts = [shown]
     if populations is not None:
         counts = population_counts(labelled, populations)
-        order = F.dense_rank()
-        from pyspark.sql import Window as W
-
-        counts = counts.withColumn("p", order.over(W.partitionBy("sel_ord", "label").orderBy("population")) - 1)
+        counts = counts.withColumn("p", F.dense_rank().over(W.partitionBy("sel_ord", "label").orderBy("population")) - 1)
         k = populations.agg(F.count_distinct("population").cast("int").alias("k"))
         own, n_pops = own.join(F.broadcast(k)), F.col("k")  # k is one row
         spread = counts.join(summary.select("sel_ord", "label", "rank"), ["sel_ord", "label"]).join(width, "sel_ord")

@@ -243,7 +243,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"net_id": left["net_id"].iloc[0] if n else 0, "source": ids[i], "target": ids[j], "hops": clean(hops), "length": clean(length)})
 
     schema = "net_id long, source int, target int, hops int, length int"
-    return nodes.select("net_id", "id").groupBy("net_id").cogroup(edges.groupBy("net_id")).applyInPandas(paths, schema)
+    return nodes.select("net_id", "id").groupBy("net_id").cogroup(edges.toDF(*edges.columns).groupBy("net_id")).applyInPandas(paths, schema)
 
 
 def spanning_edges(pairs: DataFrame, materialize) -> DataFrame:

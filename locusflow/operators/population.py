@@ -28,7 +28,7 @@ def population_counts(labelled: DataFrame, populations: DataFrame) -> DataFrame:
 def population_table(labelled: DataFrame, populations: DataFrame, names: list[str]) -> DataFrame:
     """One row per haplotype with a count column per population in ``names``."""
     joined = labelled.join(populations, "sample", "left")
-    return joined.groupBy("sel_ord", "label").pivot("population", names).agg(F.count("*").cast("int")).na.fill(0, names)
+    return joined.groupBy("sel_ord", "label").pivot("population", names).agg(F.count("sample").cast("int")).na.fill(0, names)
 
 
 def network_populations(labelled: DataFrame, populations: DataFrame) -> DataFrame:

@@ -377,6 +377,28 @@ FROM (SELECT DISTINCT unnest([ref, alt1, alt2]) AS allele FROM variants WHERE po
         _SUMMARY,
         select="SELECT rank, label, hap, count FROM labels",
     )
+    short = "replace({c}, 'GCCTA', 'i1')"
+    out["display_table"] = _hap(
+        6, 8,
+        f"""SELECT 0::INT AS row_ord, 'POS' AS row, (pos - 6)::INT AS col_ord, {short.format(c="pos::VARCHAR")} AS cell FROM variants WHERE pos BETWEEN 6 AND 8
+UNION ALL SELECT 1, 'ALLELE', pos - 6, {short.format(c="allele")} FROM variants WHERE pos BETWEEN 6 AND 8
+UNION ALL SELECT rank + 1, label, pos - 6, {short.format(c="cell")} FROM cells
+UNION ALL SELECT 1, 'ALLELE', 3 + p, population FROM names
+UNION ALL SELECT rank + 1, label, 3 + p, coalesce(n, 0) || '/' || total FROM labels CROSS JOIN names LEFT JOIN
+  (SELECT label, population, count(*) AS n FROM profiles JOIN labels USING (hap) JOIN pops USING (sample) GROUP BY ALL) USING (label, population)
+UNION ALL SELECT 1, 'ALLELE', 3 + (SELECT count(*) FROM names)::INT, 'n/N'
+UNION ALL SELECT rank + 1, label, 3 + (SELECT count(*) FROM names)::INT, count || '/' || (SELECT count(*) FROM embeddings) FROM labels""",
+        _cells(6), _POP, "names AS (SELECT population, count(*) AS total, (row_number() OVER (ORDER BY population) - 1)::INT AS p FROM pops GROUP BY population)",
+    )
+    out["annotation_table"] = _with(
+        _GENES,
+        "s AS (SELECT n_nationkey::INT AS sel_ord, (n_nationkey * 2 + 1)::INT AS start, (n_nationkey * 2 + 3)::INT AS e FROM nation)",
+        "g AS (SELECT * FROM features WHERE type = 'gene')",
+        """m AS (SELECT s.sel_ord, s.start AS s, s.e, g.id, g.start AS gs, file_ord, g.start <= s.e AND g."end" >= s.start + 1 AS hit,
+  CASE WHEN s.e < g.start THEN g.start - s.e WHEN s.start + 1 > g."end" THEN s.start + 1 - g."end" ELSE 0 END AS gap FROM s CROSS JOIN g),
+o AS (SELECT *, row_number() OVER (PARTITION BY sel_ord ORDER BY hit DESC, CASE WHEN hit THEN 0 ELSE gap END, gs, file_ord) AS r FROM m)""",
+        select="SELECT sel_ord, 'chr1' AS chr, s AS start, e AS \"end\", CASE WHEN hit THEN id ELSE id || ':' || gap END AS ann FROM o WHERE r = 1",
+    )
     tab = "chr(9)"
     out["summary_tsv"] = _hap(
         1, 3,

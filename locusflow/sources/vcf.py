@@ -43,7 +43,7 @@ def decode_variants(lines: DataFrame) -> DataFrame:
         F.get("f", 1).cast("int").alias("pos"),
         F.get("f", 3).alias("ref"),
         F.when(alt == ".", F.array().cast("array<string>")).otherwise(F.split(alt, ",")).alias("alt"),
-        F.transform(F.slice("f", FIXED_COLUMNS + 1, 2147483647), lambda c: genotype(c, F.col("gt"))).alias("genotypes"),
+        F.transform(F.slice("f", F.lit(FIXED_COLUMNS + 1), F.greatest(F.size("f") - FIXED_COLUMNS, F.lit(0))), lambda c: genotype(c, F.col("gt"))).alias("genotypes"),
     )
 
 
