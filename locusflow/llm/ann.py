@@ -28,6 +28,8 @@ MAX_LISTS = 4096
 SEGMENT = 4096
 QUERY_BLOCK = 2048
 COLUMNS = 16
+#: Share of true neighbours among a sample that the probed lists must hold.
+CALIBRATED = 0.97
 #: The test's significance: larger drops fewer true neighbours.
 EPSILON = 2.1
 HEAD = 64
@@ -79,6 +81,23 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int =
     return c
 
 
+def needed_probes(sample: np.ndarray, centroids: np.ndarray, k: int, share: float = CALIBRATED, queries: int = 200) -> int:
+    """How many lists hold ``share`` of the sample queries' ``k`` nearest in the sample.
+
+    Clustered vectors need few lists, vectors without structure most of them.
+    """
+    x = _unit(sample)
+    q = x[:: max(1, len(x) // queries)][:queries]
+    order = np.argsort(-(q @ centroids.T), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centroids))[None, :].repeat(len(q), axis=0), axis=1)
+    s = q @ x.T
+    near = np.argsort(-s, axis=1)[:, : k + 1]  # the query itself is among them
+    own = np.concatenate([(x[i : i + 4096] @ centroids.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    ranks = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, math.ceil(share * len(ranks)))]) + 1
+
+
 def rotation(d: int, seed: int = 5) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
@@ -127,8 +146,8 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: up to ``k`` nearest other vectors by cosine for each query row.
 
-    ``lists`` defaults to the square root of the number of vectors, ``probes`` to a third of the lists, 8 at least, which
-    holds recall over 0.9 also on vectors without clusters. Ties go to the smaller ``vec_id``. Rows that ``valid_vectors``
+    ``lists`` defaults to half the square root of the number of vectors, 16 at least; ``probes`` to what holds ``CALIBRATED`` of the
+    neighbours in the sample that the centroids are fitted to. Ties go to the smaller ``vec_id``. Rows that ``valid_vectors``
     leaves out take no part on either side; a query's own id is no candidate, of an id that occurs twice one row of the best
     score is returned; an empty table gives an empty result. Other columns play no part.
     """
@@ -139,11 +158,11 @@ def search(
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    lists = max(1, min(MAX_LISTS, lists or math.ceil(math.sqrt(n))))
-    probes = min(lists, probes or max(8, math.ceil(lists / 3)))
+    lists = max(1, min(MAX_LISTS, n, lists or max(16, math.ceil(math.sqrt(n) / 2))))
     sample = hash_sample(base, F.col("vec_id"), MAX_SAMPLE).select("v").toPandas()["v"]
-    centroids = fit_centroids(_matrix(sample), min(lists, len(sample)))
-    probes = min(probes, len(centroids))
+    sample = _matrix(sample)
+    centroids = fit_centroids(sample, min(lists, len(sample)))
+    probes = min(probes or needed_probes(sample, centroids, k), len(centroids))
     turn = rotation(centroids.shape[1])
     held = spark.sparkContext.broadcast((centroids, turn))  # at most MAX_LISTS centroids
 
@@ -170,7 +189,7 @@ def search(
             yield pdf.assign(seg=seg.astype(np.int32))
 
     def probe(batches):
-        c, r = held.value
+        c, _ = held.value
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -188,24 +207,23 @@ def search(
                         "seg": np.array([g for _, _, g in seg], dtype=np.int32),
                         "block": (ids % blocks if blocks > 1 else np.zeros(len(ids))).astype(np.int32),
                         "q": [pdf["q"].iloc[j] for j in at],
-                        "w": list((x @ r)[at]),
                     }
                 )
 
     rows = indexed.mapInPandas(place, "vec_id long, list int, v array<double>, u array<double>, seg int")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    probed = asked.mapInPandas(probe, "query_id long, list int, seg int, block int, q array<double>, w array<double>")
+    probed = asked.mapInPandas(probe, "query_id long, list int, seg int, block int, q array<double>")
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             u, v, ids = np.array(list(left["u"])), _matrix(left["v"]), left["vec_id"].to_numpy()
             size = np.sqrt((v * v).sum(axis=1))
-            for qid, q, w in zip(right["query_id"], right["q"], right["w"], strict=True):
+            asked_ = _matrix(right["q"])
+            turned = _unit(asked_) @ held.value[1]
+            for qid, q, w in zip(right["query_id"], asked_, turned, strict=True):
                 mine = ids != qid
-                found = adaptive_scan(np.asarray(w), u if mine.all() else u[mine], k)
-                pos = np.nonzero(mine)[0][found]
-                q = np.asarray(q)
+                pos = adaptive_scan(w, u, k) if mine.all() else np.nonzero(mine)[0][adaptive_scan(w, u[mine], k)]
                 score = (v[pos] @ q) / (size[pos] * math.sqrt((q * q).sum()))
                 best = np.lexsort((ids[pos], -score))[:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[pos[best]], "score": score[best]}))

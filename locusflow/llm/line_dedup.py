@@ -80,7 +80,7 @@ def bands(lines: list[str]) -> np.ndarray:
     mul, add = _parameters()
     out = np.empty((len(lines), BANDS), dtype=np.uint64)
     for b in range(BANDS):
-        key = np.full(len(lines), np.uint64(b + 1) * np.uint64(0xD6E8FEB86659FD93))
+        key = np.full(len(lines), (b + 1) * 0xD6E8FEB86659FD93 % (1 << 64), dtype=np.uint64)
         for r in range(b * ROWS, b * ROWS + ROWS):
             # odd multiples of one half, shifted by the other: a permutation of 32 bits each time
             least = np.minimum.reduceat((low ^ add[r]) * mul[r] + high, begin)

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from locusflow.llm._common import hash_sample, materialize, neutral, table
 
@@ -93,7 +94,7 @@ def posteriors(docs: DataFrame, columns: list[str], text_col: str, log_p: np.nda
                 p.append(z / z.sum())
             yield pdf.drop(columns=["_t_"]).assign(n_tokens=np.array(n, dtype=np.int64), p=p)
 
-    return some.mapInPandas(run, some.drop("_t_").schema.add("n_tokens", "long").add("p", "array<double>"))
+    return some.mapInPandas(run, some.drop("_t_").schema.add("n_tokens", "long").add("p", ArrayType(DoubleType())))
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
