@@ -51,16 +51,11 @@ def _spanning(d: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(d)
     i, j = np.triu_indices(n, 1)
     order = np.lexsort((j, i, d[i, j]))
-    parent, out = list(range(n)), []
+    component, out = np.arange(n), []
     for k in order:
         a, b = int(i[k]), int(j[k])
-        ra, rb = a, b
-        while parent[ra] != ra:
-            ra = parent[ra] = parent[parent[ra]]
-        while parent[rb] != rb:
-            rb = parent[rb] = parent[parent[rb]]
-        if ra != rb:
-            parent[rb] = ra
+        if component[a] != component[b]:
+            component[component == component[b]] = component[a]
             out.append((a, b, int(d[a, b])))
             if len(out) == n - 1:
                 break

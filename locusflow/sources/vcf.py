@@ -31,16 +31,17 @@ def decode_variants(lines: DataFrame) -> DataFrame:
 
     A record without a GT field raises an error.
     """
-    f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select("ord", f.alias("f"))
+    # Spark may test conditions that it infers before the filter, so the fields of other lines are null and not errors
+    record = ~F.col("value").startswith("#") & (F.col("value") != "")
+    rows = lines.select("ord", F.when(record, F.split(F.regexp_replace("value", "\r$", ""), "\t")).alias("f")).filter(F.col("f").isNotNull())
     at = F.array_position(F.split(F.get("f", 8), ":"), "GT")
-    gt = F.when(at > 0, (at - 1).cast("int")).otherwise(F.raise_error(F.lit("GT of a VCF record cannot be decoded")).cast("int"))
-    rows = rows.withColumn("gt", gt)
+    bad = F.raise_error(F.lit("GT of a VCF record cannot be decoded")).cast("int")
+    rows = rows.withColumn("gt", F.when(at > 0, (at - 1).cast("int")).when(F.col("f").isNotNull(), bad))
     alt = F.get("f", 4)
     return rows.select(
         F.col("ord").alias("variant_ord"),
         F.get("f", 0).alias("chrom"),
-        F.get("f", 1).cast("int").alias("pos"),
+        F.get("f", 1).try_cast("int").alias("pos"),
         F.get("f", 3).alias("ref"),
         F.when(alt == ".", F.array().cast("array<string>")).otherwise(F.split(alt, ",")).alias("alt"),
         F.transform(F.slice("f", F.lit(FIXED_COLUMNS + 1), F.greatest(F.size("f") - FIXED_COLUMNS, F.lit(0))), lambda c: genotype(c, F.col("gt"))).alias("genotypes"),
