@@ -1,0 +1 @@
+"""Incremental haplotype counts over a stream of calls."""
