@@ -87,19 +87,22 @@ def ranked_sizes(docs: DataFrame, source_col: str) -> DataFrame:
     return docs.select(s).groupBy("_s").agg(F.count("*").alias("_n"))
 
 
-def write_shards(docs: DataFrame, assignments: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write one folder per shard (``shard=N``) with the whole rows of ``docs`` in slot order.
+def write_shards(docs: DataFrame, assignments: DataFrame, path: str, id_col: str = "doc_id") -> str:
+    """Write one folder per shard with the whole rows of ``docs`` in slot order; returns the folders' key.
 
-    ``docs`` must have unique ids; the join moves each text once.
+    The key is ``shard``, or ``shard_`` and so on where ``docs`` has a column of that name. ``docs`` must have unique ids; the join
+    moves each text once.
     """
-    place = assignments.select(F.col("doc_id").alias(id_col), "shard", "slot")
-    (
-        docs.join(place, id_col)
-        .repartition("shard")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    taken = {c.lower() for c in docs.columns}
+    key, slot = "shard", "slot"
+    while key in taken:
+        key += "_"
+    while slot in taken:
+        slot += "_"
+    place = assignments.select(F.col("doc_id").alias(id_col), F.col("shard").alias(key), F.col("slot").alias(slot))
+    whole = docs.join(place, id_col).repartition(key).sortWithinPartitions(key, slot)
+    whole.drop(slot).write.partitionBy(key).parquet(path)
+    return key
 
 
 def op6_stratified_shards(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import fresh, materialize, table
+from locusflow.llm._common import fresh, materialize, neutral, table
 from locusflow.llm.components import connected_components
 
 TILE = 8192
@@ -179,17 +179,17 @@ def simhash_groups(
     null ids are kept and never chosen unless a component has no other; an empty table gives an empty
     result. Columns not named play no part.
     """
-    prints = materialize(
-        add_fingerprints(docs.select(F.col(id_col).alias("doc_id"), *extra, F.col(text_col).alias("_t_")), ["doc_id", *extra], "_t_", shingle, wide, "fp"),
-        "fingerprints",
-    )
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    kept = neutral(docs.select(id_col, *extra, text_col))
+    *carried, body = kept.columns
+    id_, *others = carried
+    prints = materialize(add_fingerprints(kept, carried, body, shingle, wide, "fp"), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(id_).alias("rep")), "nodes")
     members = materialize(connected_components(fingerprint_links(nodes.select("fp"), radius)), "members")
     owned = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "rep")
     ids = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = members.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
     every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", *extra, F.col("fp").alias("fingerprint"), "component_id")
+    return prints.join(every, "fp").select(id_, *others, "fp", "component_id").toDF("doc_id", *extra, "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -174,8 +174,8 @@ def test_sharding_edges(docs):
 
 def test_write_shards(docs, spark, tmp_path):
     some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    sharding.write_shards(some, sharding.shard_assignments(some, 2), str(tmp_path / "s"))
-    back = spark.read.parquet(str(tmp_path / "s" / "shard=1"))
+    assert sharding.write_shards(some, sharding.shard_assignments(some, 2), str(tmp_path / "s")) == "shard_"
+    back = spark.read.parquet(str(tmp_path / "s" / "shard_=1"))
     assert back.count() == some.count() // 2 and spark.read.parquet(str(tmp_path / "s")).count() == some.count()
 
 
