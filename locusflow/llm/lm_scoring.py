@@ -13,9 +13,11 @@ joined by word, so that no word's rows are many.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,8 @@ N_CLASSES = 8
 CHUNK = 256
 #: Chunks that are worked on together; bounds the memory of a task whatever the texts' lengths.
 GROUP = 4096
-FLUSH = 300_000
+#: Distinct words that a counting task holds at most.
+FLUSH = 600_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -36,8 +39,13 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_ENDS = frozenset(b".,;:!?")
+_DIGIT = re.compile(rb"[0-9]").search
+
+
 def shape_class(word: bytes) -> int:
-    return (word[-1:] in (b".", b",", b";", b":", b"!", b"?")) + 2 * (not word.isascii()) + 4 * any(48 <= c <= 57 for c in word)
+    """Whether a word ends in punctuation (1), has a character beyond ASCII (2), has a digit (4)."""
+    return (word != b"" and word[-1] in _ENDS) + 2 * (not word.isascii()) + 4 * (_DIGIT(word) is not None)
 
 
 def _shape_column(word: Column) -> Column:
@@ -82,7 +90,7 @@ class Vocabulary:
     symbol: np.ndarray
     log_count: np.ndarray
     log_class: np.ndarray
-    n_symbols: int
+    symbol_counts: np.ndarray
     total: int
     distinct: int
 
@@ -109,7 +117,9 @@ def vocabulary(counts: DataFrame, head: int, symbols: int) -> Vocabulary:
         n[shape_class(w)] -= x
         v[shape_class(w)] -= 1
     index = {w: i for i, w in enumerate(names)}
-    return Vocabulary(index, symbol, np.log10(c + 1.0), np.log10(n + v + 1), symbols + N_CLASSES, total, distinct)
+    each = np.zeros(symbols + N_CLASSES)
+    each[:own], each[symbols:] = c[:own], n
+    return Vocabulary(index, symbol, np.log10(c + 1.0), np.log10(n + v + 1), each, total, distinct)
 
 
 def encode(docs: DataFrame, shared, n_own: int) -> DataFrame:
@@ -118,15 +128,16 @@ def encode(docs: DataFrame, shared, n_own: int) -> DataFrame:
     def run(batches):
         index, symbol, log_count, log_class = shared.value
         get = index.get
+        symbol = np.append(symbol, np.int16(0))  # for words that are not there; replaced below
         for pdf in batches:
             rows = []
             for t in pdf["t"]:
-                words = [*tokens(t), b""]
-                ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+                words = tokens(t)
+                words.append(b"")
+                ids = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
                 known = ids >= 0
-                sym = np.empty(len(words), dtype=np.int16)
-                sym[known] = symbol[ids[known]]
-                rest = [words[i] for i in np.nonzero(~known)[0]]
+                sym = symbol[ids]
+                rest = [words[i] for i in np.nonzero(~known)[0].tolist()]
                 sym[~known] = [n_own + shape_class(w) for w in rest]
                 logs = log_count[ids[known]]
                 classed = sym >= n_own
@@ -205,71 +216,74 @@ def _transfer(batch: _Batch, hmm: Hmm, which: np.ndarray) -> np.ndarray:
 def _edges(batch: _Batch, hmm: Hmm, backward: bool) -> tuple[np.ndarray, np.ndarray]:
     """State weights before each chunk and, if asked, the weights of what follows it."""
     k, n = len(hmm.start), len(batch.doc)
-    before, after = np.tile(hmm.start, (n, 1)), np.ones((n, k))
+    before, after, one = np.tile(hmm.start, (n, 1)), np.ones((n, k)), np.ones(k)
     long = np.nonzero(batch.per > 1)[0]
     if len(long):
         m = _transfer(batch, hmm, np.nonzero(batch.per[batch.doc] > 1)[0])
         for j in range(1, int(batch.per.max())):
             at = batch.first[long[batch.per[long] > j]] + j
             x = (before[at - 1][:, None, :] @ m[at - 1])[:, 0, :]
-            before[at] = x / x.sum(axis=1, keepdims=True)
+            before[at] = x / (x @ one)[:, None]
         for j in range(int(batch.per.max()) - 2, -1, -1) if backward else ():
             at = batch.first[long[batch.per[long] > j + 1]] + j
             x = (m[at + 1] @ after[at + 1][:, :, None])[:, :, 0]
-            after[at] = x / x.sum(axis=1, keepdims=True)
+            after[at] = x / (x @ one)[:, None]
     return before, after
 
 
 def log_likelihoods(seqs: list[np.ndarray], hmm: Hmm) -> np.ndarray:
     """Natural log-likelihood of each sequence."""
     batch = _Batch(seqs)
-    out = np.zeros(len(seqs))
+    out, one = np.zeros(len(seqs)), np.ones(len(hmm.start))
     before, _ = _edges(batch, hmm, False)
-    for g, _, active, obs in batch.groups(np.arange(len(batch.doc))):
-        a, total = before[g], np.zeros(len(g))
+    for g, lengths, active, obs in batch.groups(np.arange(len(batch.doc))):
+        a, scale = before[g], np.ones(obs.shape)
         for t, n in enumerate(active):
             x = (a[:n] @ hmm.trans) * hmm.emit[obs[t, :n]]
-            c = x.sum(axis=1)
+            c = x @ one
             a[:n] = x / c[:, None]
-            total[:n] += np.log(c)
-        np.add.at(out, batch.doc[g], total)
+            scale[t, :n] = c
+        np.add.at(out, batch.doc[g], np.log(scale).sum(axis=0))
     return out
 
 
 def expected_counts(seqs: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch's expected start states, transitions and emissions, and the log-likelihood."""
+    """Baum-Welch's expected start states, transitions and emissions, and the log-likelihood.
+
+    Backward weights are scaled to a product of 1 with the forward weights at each chunk's end; the forward scales then
+    keep it at 1 throughout, so the products are the state probabilities themselves.
+    """
     batch = _Batch(seqs)
     k, s = len(hmm.start), len(hmm.emit)
+    one, back = np.ones(k), np.ascontiguousarray(hmm.trans.T)
     start, trans, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((s, k)), 0.0
     before, after = _edges(batch, hmm, True)
     for g, lengths, active, obs in batch.groups(np.arange(len(batch.doc))):
         steps = len(active)
         a, scale = np.zeros((steps + 1, len(g), k)), np.ones((steps, len(g)))
         a[0] = before[g]
+        seen = hmm.emit[obs]
         for t, n in enumerate(active):
-            x = (a[t, :n] @ hmm.trans) * hmm.emit[obs[t, :n]]
-            c = x.sum(axis=1)
+            x = (a[t, :n] @ hmm.trans) * seen[t, :n]
+            c = x @ one
             scale[t, :n] = c
             a[t + 1, :n] = x / c[:, None]
-            total += float(np.log(c).sum())
+        total += float(np.log(scale).sum())
+        seen /= scale[:, :, None]
         b = after[g]
-        mass = np.zeros((steps, len(g), k))
+        b /= ((a[lengths, np.arange(len(g))] * b) @ one)[:, None]
         for t in range(steps - 1, -1, -1):
             n = active[t]
-            joint = a[t + 1, :n] * b[:n]
-            z = joint.sum(axis=1)
-            mass[t, :n] = joint / z[:, None]
-            x = hmm.emit[obs[t, :n]] * b[:n]
-            trans += a[t, :n].T @ (x / (scale[t, :n] * z)[:, None])
-            y = x @ hmm.trans.T
-            b[:n] = y / y.sum(axis=1, keepdims=True)
+            x = seen[t, :n] * b[:n]
+            a[t + 1, :n] *= b[:n]
+            trans += a[t, :n].T @ x
+            b[:n] = x @ back
         live = np.arange(steps)[:, None] < lengths[None, :]
-        seen, weight = obs[live], mass[live]
+        symbol, weight = obs[live], a[1:][live]
         for j in range(k):
-            emit[:, j] += np.bincount(seen, weights=weight[:, j], minlength=s)
+            emit[:, j] += np.bincount(symbol, weights=weight[:, j], minlength=s)
         heads = batch.part[g] == 0
-        w = before[g][heads] * b[heads]
-        start += (w / w.sum(axis=1, keepdims=True)).sum(axis=0)
+        start += (a[0][heads] * b[heads]).sum(axis=0)
     return start, trans * hmm.trans, emit, total
 
 
@@ -290,27 +304,16 @@ def _parts(blobs, most: int = 400_000):
         yield run
 
 
-def train_hmm(encoded: DataFrame, states: int, n_symbols: int, rounds: int) -> Hmm:
+def train_hmm(encoded: DataFrame, states: int, symbol_counts: np.ndarray, rounds: int) -> Hmm:
     """Baum-Welch over all rows of ``encoded``; without rows a uniform model."""
-    spark = encoded.sparkSession
+    spark, n_symbols = encoded.sparkSession, len(symbol_counts)
 
     def summed(partial) -> dict[int, float]:
         got = encoded.select("sym").mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
         pdf = got.toPandas()  # one row per parameter
         return dict(zip(pdf["i"].tolist(), pdf["v"].tolist(), strict=True))
 
-    def unigrams(batches):
-        c = np.zeros(n_symbols)
-        for pdf in batches:
-            for x in _sequences(pdf["sym"]):
-                c += np.bincount(x, minlength=n_symbols)
-        i = np.nonzero(c)[0]
-        yield pd.DataFrame({"i": i.astype(np.int32), "v": c[i]})
-
-    counts = np.full(n_symbols, 0.1)
-    for i, v in summed(unigrams).items():
-        counts[i] += v
-    unigram = counts / counts.sum()
+    unigram = (symbol_counts + 0.1) / (symbol_counts + 0.1).sum()
     hmm = Hmm.initial(states, unigram)
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((hmm.start, hmm.trans, hmm.emit))
@@ -368,7 +371,7 @@ def score_documents(
         .groupBy("rid")
         .agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rest_log"), F.count("*").alias("rest_known"))
     )
-    hmm = train_hmm(encoded.filter(~F.col("held_out")), states, vocab.n_symbols, rounds)
+    hmm = train_hmm(encoded.filter(~F.col("held_out")), states, vocab.symbol_counts, rounds)
     model = spark.sparkContext.broadcast((hmm.start, hmm.trans, hmm.emit))
 
     def forward(batches):
