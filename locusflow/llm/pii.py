@@ -49,7 +49,7 @@ COLD = (
     "article artikel chapter edition error figure id invoice isbn item kapitel line no order page página price ref "
     "release section seite serial step table total vers version vol volume year"
 ).split()
-NAME = rf"(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.?+\x20|(?:{'|'.join(GIVEN_NAMES)})\x20)\p{{Lu}}\p{{Ll}}++(?![\p{{L}}])"
+NAME = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?+\x20|(?:{'|'.join(GIVEN_NAMES)})\x20)\p{{Lu}}\p{{Ll}}++(?![\p{{L}}])"
 ADDED_KINDS = ("number", "spelled", "name")
 
 #: Hash buckets of the neighbouring word among the classifier's features.
@@ -106,14 +106,14 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _words(names: list[str]) -> str:
-    return "(?i).*(?<![\\p{L}])(" + "|".join(names) + ")(?![\\p{L}]).*"
+    return "(?i)(?<!\\p{L})(" + "|".join(names) + ")(?!\\p{L})"
 
 
 def _votes(x: str) -> str:
     """The labelers' votes on candidate ``x`` as a string of '+', '-' and '0'."""
     digits = f"char_length({_digits(x + '.m')})"
     has = lambda cond, yes, no="false": f"if({cond}, '+', if({no}, '-', '0'))"
-    name = _sql(".*(" + "|".join(GIVEN_NAMES) + ").*")
+    name = _sql("|".join(GIVEN_NAMES))
     votes = (
         # regex: a strict form speaks for, a bare run of digits against
         has(
@@ -154,7 +154,8 @@ def _features(x: str) -> str:
 
 def vote_counts(spans: DataFrame) -> list[tuple[str, str, int]]:
     """``(votes, feature, candidates)`` over the whole table; at most 3**6 patterns times the features' values."""
-    one = spans.select(F.explode("cand").alias("x")).select(F.expr(_votes("x")).alias("v"), F.expr(_features("x")).alias("f"))
+    # explode_outer: for explode Spark would first ask whether the array is empty and so find all spans twice
+    one = spans.select(F.explode_outer("cand").alias("x")).filter(F.col("x").isNotNull()).select(F.expr(_votes("x")).alias("v"), F.expr(_features("x")).alias("f"))
     rows = one.select("v", F.explode("f").alias("f")).groupBy("v", "f").count().collect()
     return sorted((r["v"], r["f"], r["count"]) for r in rows)
 
