@@ -271,3 +271,26 @@ def spanning_edges(pairs: DataFrame, materialize) -> DataFrame:
             if twice.filter("moved").isEmpty():
                 break
         labels = materialize(labels.join(up, "c", "left").select("v", F.coalesce("p", "c").alias("c")))
+
+
+def compute_network(spark, sequences: list[str], samples: list[list[str]], method: str = "tcs", epsilon: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one network given as lists. Lists of different length raise."""
+    if len(sequences) != len(samples):
+        raise ValueError("sequences and samples must have one length")
+    rows = [(0, i, s, list(m)) for i, (s, m) in enumerate(zip(sequences, samples, strict=True))]
+    haps = spark.createDataFrame(rows, "net_id long, id int, sequence string, samples array<string>")
+    parts = network_parts(haps, method, epsilon)
+    return nodes_of(parts).drop("net_id"), edges_of(parts).drop("net_id")
+
+
+def compute_tcs_network(spark, sequences: list[str], samples: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    return compute_network(spark, sequences, samples, "tcs")
+
+
+def compute_msn_network(spark, sequences: list[str], samples: list[list[str]], epsilon: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``epsilon`` adds no edges: once all haplotypes are connected there is nothing left to join."""
+    return compute_network(spark, sequences, samples, "msn", epsilon)
+
+
+def compute_mjn_network(spark, sequences: list[str], samples: list[list[str]], epsilon: int = 0) -> tuple[DataFrame, DataFrame]:
+    return compute_network(spark, sequences, samples, "mjn", epsilon)

@@ -91,3 +91,29 @@ def test_longest_isoform(spark):
 
     t = spark.createDataFrame([(1, "g", 1, 5, "a"), (2, "g", 1, 9, "b"), (3, "g", 2, 10, "c")], "file_ord int, parent string, start int, end int, id string")
     assert longest_isoforms(t).select(F.col("id")).first().id == "b"
+
+
+def test_fasta_and_ped(spark, tmp_path):
+    from locusflow.operators import network
+    from locusflow.sources import sequences
+
+    (tmp_path / "s.fa").write_text(">a one\nAC-G\nTT\n>b\nac-gTA\n>c\nAC-GTT\n")
+    got = [tuple(r) for r in sequences.read_fasta(spark, str(tmp_path / "s.fa")).orderBy("id").collect()]
+    assert got == [(0, "a", "AC-GTT"), (1, "b", "AC-GTA"), (2, "c", "AC-GTT")]
+    haps = sequences.as_haplotypes(sequences.read_fasta(spark, str(tmp_path / "s.fa")))
+    assert [(r.id, r.samples) for r in haps.orderBy("id").collect()] == [(0, ["a", "c"]), (1, ["b"])]
+    assert [tuple(r)[1:] for r in network.edges_of(network.network_parts(haps, "msn")).collect()] == [(0, 1, 1)]
+    (tmp_path / "x.ped").write_text("F1 S1 0 0 1 -9 A A G T\nF1 S2 0 0 2 -9 0 0 G G\n\n")
+    rows = [tuple(r) for r in sequences.read_ped(spark, str(tmp_path / "x.ped")).orderBy("sample", "site").collect()]
+    assert rows == [("F1", "S1", 0, "A", "A"), ("F1", "S1", 1, "G", "T"), ("F1", "S2", 0, None, None), ("F1", "S2", 1, "G", "G")]
+
+
+def test_compute_network(spark):
+    from locusflow.operators import network
+
+    nodes, edges = network.compute_tcs_network(spark, ["ATCG", "ATCC", "TTCG"], [["x"], ["y"], []])
+    assert nodes.count() == 4 and edges.count() == 2
+    assert network.compute_msn_network(spark, ["A", "C"], [[], []], 3)[1].count() == 1
+    assert network.compute_mjn_network(spark, ["A"], [["z"]])[1].count() == 0
+    with pytest.raises(ValueError):
+        network.compute_network(spark, ["A"], [])
