@@ -80,3 +80,14 @@ def hash_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * (most / n)))
+
+
+def join_by_size(big: DataFrame, small: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has each ``key`` once and in ``n`` how many rows of ``big`` have it.
+
+    Keys with more than one in ``share`` of the ``total`` rows are at most ``share``: these are broadcast, so that the rows of a hot
+    key stay where they are. The others are joined by a shuffle.
+    """
+    hot = F.broadcast(small.filter(F.col(n) * share > total))
+    cold = small.filter(F.col(n) * share <= total)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -11,15 +11,14 @@ with their ids, lets the others go before the shuffle. Buckets over ``BLOCK`` li
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import materialize, table
+from locusflow.llm._common import join_by_size, materialize, table
 from locusflow.llm.components import connected_components
 
 SHINGLE = 7
@@ -112,13 +111,12 @@ def _id(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def verified_links(names: list[bytes], lines: list[str], left: int, similarity: float) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between lines; the first ``left`` meet all, the others only those."""
-    sets = []
-    for x in lines:
-        h, _ = shingle_hashes([x])
-        sets.append(np.unique(h))
-    parent = list(range(len(lines)))
+def verified_links(names: list[bytes], sets: list[np.ndarray], left: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between lines, given their sorted shingle sets.
+
+    The first ``left`` meet all that follow them, the others only those.
+    """
+    parent = list(range(len(sets)))
 
     def root(i):
         while parent[i] != i:
@@ -128,7 +126,7 @@ def verified_links(names: list[bytes], lines: list[str], left: int, similarity:
 
     out = []
     for i in range(left):
-        for j in range(i + 1, len(lines)):
+        for j in range(i + 1, len(sets)):
             a, b = sets[i], sets[j]
             if min(len(a), len(b)) < similarity * max(len(a), len(b)) or root(i) == root(j):
                 continue
@@ -139,6 +137,14 @@ def verified_links(names: list[bytes], lines: list[str], left: int, similarity:
     return out
 
 
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    out = []
+    for a, b in _runs(lines):
+        h, begin = shingle_hashes(lines[a:b])
+        out += [np.unique(x) for x in np.split(h, begin[1:])]
+    return out
+
+
 def line_components(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``node, root``: the keys of the distinct lines that are linked to others, and their component's smallest key."""
     spark = docs.sparkSession
@@ -180,16 +186,23 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
     pairs = bucket.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "b1", "b2", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"), "at", "line"
     )
-    rows = pairs.join(found, "line")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "key"])
-        same = pdf["x"].iloc[0] == pdf["y"].iloc[0]
-        left = len(pdf) if same else int((pdf["at"] == pdf["x"]).sum())
-        out = verified_links(pdf["key"].tolist(), pdf["s"].tolist(), left, similarity)
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    links = rows.groupBy("b1", "b2", "x", "y").applyInPandas(verify, "a binary, b binary")
+    member = F.struct("at", "key", "s")
+    rows = pairs.join(found, "line").groupBy("b1", "b2", "x", "y").agg(F.array_sort(F.collect_list(member)).alias("m"))
+
+    def verify(batches):
+        for batch in batches:  # one row per bucket or pair of blocks, of at most 2 * BLOCK lines
+            m = batch.column("m")
+            ends, flat = m.offsets.to_numpy(), m.values
+            at, keys = flat.field("at").to_numpy(), flat.field("key").to_pylist()
+            sets = shingle_sets(flat.field("s").to_pylist())
+            first, last = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            out = []
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                left = b - a if first[k] == last[k] else int((at[a:b] == first[k]).sum())
+                out += verified_links(keys[a:b], sets[a:b], left, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+
+    links = rows.select("x", "y", "m").mapInArrow(verify, "a binary, b binary")
     return connected_components(links.distinct())
 
 
@@ -223,9 +236,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of = members.join(best, "root").select(F.col("node").alias("key"), "best")
     # only keys that occur twice or are linked have lines to remove
     of = firsts.join(of, "key", "left").select("key", F.coalesce("best", "first").alias("best"), "n", "first")
-    of = of.filter((F.col("n") > 1) | (F.col("best") != F.col("first"))).select("key", "best")
+    of = materialize(of.filter((F.col("n") > 1) | (F.col("best") != F.col("first"))).select("key", "n", "best"), "decided")
     at = F.struct("doc_id", "line_no")
-    return lines.join(of, "key").filter(~at.eqNullSafe(F.col("best"))).select(
+    return join_by_size(lines, of, "key", "n", lines.count()).filter(~at.eqNullSafe(F.col("best"))).select(
         "doc_id", "line_no", F.col("best.doc_id").alias("first_doc"), F.col("best.line_no").alias("first_line")
     )
 
