@@ -29,45 +29,69 @@ def pair_distances(haps: DataFrame, metric: str = "char") -> DataFrame:
     return a.join(b, "net_id").filter("i < j").select("net_id", "i", "j", distance(F.col("a"), F.col("b")).alias("d"))
 
 
+def _codes(sequences: list[str], metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """A row of numbers per sequence, filled up with zeros, and the lengths."""
+    if metric == "site":
+        names: dict[str, int] = {}
+        rows = [np.array([names.setdefault(x, len(names) + 1) for x in s.split("|")], dtype=np.int32) for s in sequences]
+    elif all(s.isascii() for s in sequences):
+        rows = [np.frombuffer(s.encode(), dtype=np.uint8) for s in sequences]
+    else:
+        rows = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for s in sequences]
+    size = np.array([len(r) for r in rows], dtype=np.int64)
+    out = np.zeros((len(rows), int(size.max(initial=0))), dtype=rows[0].dtype if rows else np.uint8)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out, size
+
+
 def distance_matrix(sequences: list[str], metric: str = "char") -> np.ndarray:
     """Differing characters plus the difference in length; or differing states of ``|``-joined haplotypes."""
-    rows = [list(s) if metric == "char" else s.split("|") for s in sequences]
-    names = {c: k + 1 for k, c in enumerate(sorted({c for r in rows for c in r}))}
-    size = np.array([len(r) for r in rows])
-    codes = np.zeros((len(rows), int(size.max(initial=0))), dtype=np.int32)
-    for i, r in enumerate(rows):
-        codes[i, : len(r)] = [names[c] for c in r]
-    out = np.zeros((len(rows), len(rows)), dtype=np.int64)
-    for i in range(len(rows)):
-        shared = (codes[i] != 0) & (codes != 0)
-        out[i] = ((codes[i] != codes) & shared).sum(axis=1)
-        if metric == "char":
-            out[i] += np.abs(size - size[i])
-    return out
+    codes, size = _codes(sequences, metric)
+    n = len(sequences)
+    out = np.zeros((n, n), dtype=np.int64)
+    even = bool((size == size[:1]).all())
+    column = np.arange(codes.shape[1])
+    for i in range(n - 1):
+        differ = codes[i + 1 :] != codes[i]
+        if not even:
+            differ &= column < np.minimum(size[i + 1 :], size[i])[:, None]
+        out[i, i + 1 :] = np.count_nonzero(differ, axis=1)
+    if metric == "char" and not even:
+        out += np.triu(np.abs(size[:, None] - size[None, :]), 1)
+    return out + out.T
 
 
 def _spanning(d: np.ndarray) -> list[tuple[int, int, int]]:
     """Edges of the spanning tree that is smallest by weight, then by ends."""
     n = len(d)
     i, j = np.triu_indices(n, 1)
-    order = np.lexsort((j, i, d[i, j]))
-    component, out = np.arange(n), []
-    for k in order:
-        a, b = int(i[k]), int(j[k])
-        if component[a] != component[b]:
-            component[component == component[b]] = component[a]
-            out.append((a, b, int(d[a, b])))
+    w = d[i, j]
+    order = np.lexsort((j, i, w))
+    component, out = list(range(n)), []
+    for a, b, x in zip(i[order].tolist(), j[order].tolist(), w[order].tolist(), strict=True):
+        keep, gone = component[a], component[b]
+        if keep != gone:
+            component = [keep if c == gone else c for c in component]
+            out.append((a, b, x))
             if len(out) == n - 1:
                 break
     return out
 
 
-def _between(a: str, b: str, step: int, total: int) -> str:
+def _between(a: str, b: str, total: int) -> list[str]:
+    """The sequences on the way from ``a`` to ``b`` in ``total`` steps, without the ends."""
+    if total < 2:
+        return []
     places = [k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y]
-    out = list(a)
-    for k in places[: len(places) * step // total]:
-        out[k] = b[k]
-    return "".join(out)
+    now, done, out = list(a), 0, []
+    for step in range(1, total):
+        upto = len(places) * step // total
+        for k in places[done:upto]:
+            now[k] = b[k]
+        done = upto
+        out.append("".join(now))
+    return out
 
 
 def _parsimony(d: np.ndarray, sequences: list[str], medians: bool) -> tuple[list[tuple[int, int, int]], list[str]]:
@@ -95,7 +119,7 @@ def _parsimony(d: np.ndarray, sequences: list[str], medians: bool) -> tuple[list
             u, v = (a[k], b[k]) if ca[k] < cb[k] else (b[k], a[k])
             edges.append((int(min(u, v)), int(max(u, v)), int(max(level, 1)) if medians else int(level)))
             if medians:
-                between += [_between(sequences[u], sequences[v], s, int(level)) for s in range(1, int(level))]
+                between += _between(sequences[u], sequences[v], int(level))
         component = np.where(component == second, first, component - (component > second))
     return edges, between
 
