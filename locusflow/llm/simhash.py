@@ -17,15 +17,17 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import fresh, materialize, neutral, table
+from locusflow.llm._common import fresh, join_by_size, materialize, neutral, table
 from locusflow.llm.components import connected_components
 
 TILE = 8192
 ROWS = 256
 SEED = 42
+#: 2 to the 63rd: makes every long a number of 20 digits at most that is not negative.
+_OFFSET = "9223372036854775808"
 
 
 def fingerprint(text: str | None, shingle: int, wide: bool) -> bytes:
@@ -92,10 +94,20 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _unpack(hexes) -> np.ndarray:
-    """Fingerprints as rows of 64-bit words, in the order given."""
-    raw = np.frombuffer(bytes.fromhex("".join(hexes)), dtype=">u8").astype(np.uint64)
-    return raw.reshape(len(hexes), -1) if len(hexes) else raw.reshape(0, 1)
+def _unpack(names) -> np.ndarray:
+    """The fingerprints at the end of node names as rows of 64-bit words, in the order given."""
+    raw = np.frombuffer(bytes.fromhex("".join(x.rpartition(":")[2] for x in names)), dtype=">u8").astype(np.uint64)
+    return raw.reshape(len(names), -1) if len(names) else raw.reshape(0, 1)
+
+
+def node_name(rep: Column, fp: Column) -> Column:
+    """A text that sorts by ``rep`` as a number, null last, and ends in the fingerprint."""
+    place = F.lpad((rep.cast("decimal(20,0)") + F.lit(_OFFSET).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.concat_ws(":", F.coalesce(place, F.lit("~" * 20)), fp)
+
+
+def node_rep(name: Column) -> Column:
+    return (F.substring(name, 1, 20).try_cast("decimal(20,0)") - F.lit(_OFFSET).cast("decimal(20,0)")).cast("long")
 
 
 def linked(left, right, radius: int, same: bool) -> list[tuple[str, str]]:
@@ -129,7 +141,7 @@ def linked(left, right, radius: int, same: bool) -> list[tuple[str, str]]:
 
 
 def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
-    """``a, b``: a spanning forest of all links between distinct fingerprints in column ``fp``."""
+    """``a, b``: a spanning forest of all links between distinct fingerprints ``fp``, by their ``node`` names."""
     spark = prints.sparkSession
     # the count is taken word by word: bit_count works on longs
     words = F.transform(
@@ -148,8 +160,8 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
             first.setdefault(p, (t, parts))
     where = spark.createDataFrame([(p, t, parts) for p, (t, parts) in first.items()], "p int, t0 int, parts int")
     reach = spark.createDataFrame(list(enumerate(last)), "t int, upto int")
-    placed = counted.join(F.broadcast(where), "p").select("fp", (F.col("t0") + F.pmod(F.xxhash64("fp"), "parts")).cast("int").alias("t"))
-    blobs = materialize(placed.groupBy("t").agg(F.collect_list("fp").alias("fps")), "tiles")
+    placed = counted.join(F.broadcast(where), "p").select("node", (F.col("t0") + F.pmod(F.xxhash64("fp"), "parts")).cast("int").alias("t"))
+    blobs = materialize(placed.groupBy("t").agg(F.collect_list("node").alias("fps")), "tiles")
     left = blobs.join(F.broadcast(reach), "t").select("t", F.col("fps").alias("mine"), F.explode(F.sequence("t", "upto")).alias("u"))
     right = blobs.select(F.col("t").alias("u"), F.col("fps").alias("others"))
 
@@ -183,13 +195,14 @@ def simhash_groups(
     *carried, body = kept.columns
     id_, *others = carried
     prints = materialize(add_fingerprints(kept, carried, body, shingle, wide, "fp"), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min(id_).alias("rep")), "nodes")
-    members = materialize(connected_components(fingerprint_links(nodes.select("fp"), radius)), "members")
-    owned = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "rep")
-    ids = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = members.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(every, "fp").select(id_, *others, "fp", "component_id").toDF("doc_id", *extra, "fingerprint", "component_id")
+    # a node's name begins with its smallest id, so the smallest node of a component names the component's id
+    nodes = prints.groupBy("fp").agg(F.min(id_).cast("long").alias("rep"), F.count("*").alias("n"))
+    nodes = nodes.select("fp", "n", "rep", node_name(F.col("rep"), F.col("fp")).alias("node"))
+    nodes = materialize(nodes, "nodes")
+    members = connected_components(fingerprint_links(nodes.select("fp", "node"), radius))
+    named = F.when(F.col("root").isNull(), F.col("rep")).otherwise(node_rep(F.col("root")))
+    every = materialize(nodes.join(members, "node", "left").select("fp", "n", named.alias("component_id")), "named")
+    return join_by_size(prints, every, "fp", "n", prints.count()).select(id_, *others, "fp", "component_id").toDF("doc_id", *extra, "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

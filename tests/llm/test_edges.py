@@ -121,7 +121,7 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     near = [int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in core for a, b in rng.integers(0, 64, (12, 2))]
     prints = {i: x for i, x in enumerate(sorted(set(near) | set(map(int, core))))}
     monkeypatch.setattr(simhash, "TILE", 64)  # many tiles, and popcounts split over several
-    df = spark.createDataFrame([(f"{x:016x}",) for x in prints.values()], "fp string")
+    df = spark.createDataFrame([(f"{x:016x}", f"{x:016x}") for x in prints.values()], "fp string, node string")
     got = {r.node: r.root for r in components.connected_components(simhash.fingerprint_links(df, 4)).collect()}
     want = brute.components(prints)
     groups = collections.defaultdict(set)
