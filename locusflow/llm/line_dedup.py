@@ -111,38 +111,48 @@ def _id(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def verified_links(names: list[bytes], sets: list[np.ndarray], left: int, similarity: float) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links between lines, given their sorted shingle sets.
 
-    The first ``left`` meet all that follow them, the others only those.
+    The first ``left`` meet all that follow them, the others only those. Pairs that are connected already are skipped.
     """
-    parent = list(range(len(sets)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
+    size = np.array([len(x) for x in sets])
+    group, out = np.arange(len(sets)), []
     for i in range(left):
-        for j in range(i + 1, len(sets)):
-            a, b = sets[i], sets[j]
-            if min(len(a), len(b)) < similarity * max(len(a), len(b)) or root(i) == root(j):
+        near = np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :])
+        for j in (i + 1 + np.nonzero(near & (group[i + 1 :] != group[i]))[0]).tolist():
+            if group[i] == group[j]:
                 continue
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            if common >= similarity * (len(a) + len(b) - common):
-                parent[root(j)] = root(i)
+            common = _common(sets[i], sets[j])
+            if common >= similarity * (size[i] + size[j] - common):
+                group[group == group[j]] = group[i]
                 out.append((names[i], names[j]))
     return out
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
-    out = []
-    for a, b in _runs(lines):
-        h, begin = shingle_hashes(lines[a:b])
-        out += [np.unique(x) for x in np.split(h, begin[1:])]
-    return out
+    h, begin = shingle_hashes(lines)
+    ends = [*begin[1:].tolist(), len(h)]
+    return [np.unique(h[x:y]) for x, y in zip(begin.tolist(), ends, strict=True)]
+
+
+def _bucket_runs(ends: np.ndarray, lines: list[str]):
+    """Ranges of buckets with about ``_CHARS`` characters: the sets of no more than these are held at once."""
+    begin, size = 0, 0
+    for k in range(len(ends) - 1):
+        size += sum(map(len, lines[ends[k] : ends[k + 1]]))
+        if size >= _CHARS:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(ends) - 1:
+        yield begin, len(ends) - 1
 
 
 def line_components(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -157,8 +167,11 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
                 ids = np.array([_id(k) for k in keys[a:b]], dtype=np.int64)
                 yield pd.DataFrame({"band": bands(lines[a:b]).ravel(), "line": np.repeat(ids, BANDS)})
 
-    banded = some.mapInPandas(signatures, "band long, line long").groupBy("band").agg(F.collect_set("line").alias("lines"))
-    shared = materialize(banded.filter(F.size("lines") > 1).select(F.array_sort("lines").alias("lines")).distinct(), "buckets")
+    # most bands have one line: those are dropped by their extremes, with plain numbers in one shuffle, before any list is made
+    banded = some.mapInPandas(signatures, "band long, line long").repartition("band")
+    met = banded.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high").select("band")
+    lists = banded.join(met.hint("shuffle_hash"), "band").groupBy("band").agg(F.collect_set("line").alias("lines"))
+    shared = materialize(lists.select(F.array_sort("lines").alias("lines")).distinct(), "buckets")
     # equal sets from several bands are one bucket
     n_bits = FILTER_BITS
     cells = shared.select(F.explode("lines").alias("x")).select(F.pmod("x", F.lit(n_bits)).alias("p"))
@@ -193,13 +206,16 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
         for batch in batches:  # one row per bucket or pair of blocks, of at most 2 * BLOCK lines
             m = batch.column("m")
             ends, flat = m.offsets.to_numpy(), m.values
-            at, keys = flat.field("at").to_numpy(), flat.field("key").to_pylist()
-            sets = shingle_sets(flat.field("s").to_pylist())
+            at, keys, lines = flat.field("at").to_numpy(), flat.field("key").to_pylist(), flat.field("s").to_pylist()
             first, last = batch.column("x").to_numpy(), batch.column("y").to_numpy()
             out = []
-            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                left = b - a if first[k] == last[k] else int((at[a:b] == first[k]).sum())
-                out += verified_links(keys[a:b], sets[a:b], left, similarity)
+            for start, stop in _bucket_runs(ends, lines):
+                base = ends[start]
+                sets = shingle_sets(lines[base : ends[stop]])
+                for k in range(start, stop):
+                    a, b = ends[k], ends[k + 1]
+                    left = b - a if first[k] == last[k] else int((at[a:b] == first[k]).sum())
+                    out += verified_links(keys[a:b], sets[a - base : b - base], left, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
 
     links = rows.select("x", "y", "m").mapInArrow(verify, "a binary, b binary")
@@ -232,8 +248,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = materialize(firsts, "firsts")
     members = materialize(line_components(docs, text_col, similarity), "members")
     linked = members.join(firsts, members["node"] == firsts["key"]).select("node", "root", "first")
-    best = linked.groupBy("root").agg(F.min("first").alias("best"))
-    of = members.join(best, "root").select(F.col("node").alias("key"), "best")
+    best = materialize(linked.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "best")
+    of = join_by_size(members, best, "root", "n", members.count()).select(F.col("node").alias("key"), "best")
     # only keys that occur twice or are linked have lines to remove
     of = firsts.join(of, "key", "left").select("key", F.coalesce("best", "first").alias("best"), "n", "first")
     of = materialize(of.filter((F.col("n") > 1) | (F.col("best") != F.col("first"))).select("key", "n", "best"), "decided")
