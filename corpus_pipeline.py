@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, and a radius at which texts of similarity 0.8 are caught."""
+    """Texts whose sets of five-word shingles have a similarity of 0.8 or more, counted exactly, are near duplicates."""
     return drop_near_duplicates(docs)
 
 

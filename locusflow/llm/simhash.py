@@ -8,6 +8,9 @@ its counts allow. What remains is compared exactly with numpy's exclusive-or and
 A tile pair emits a spanning forest of its links and not the links, so that a group of k near copies costs k
 rows; components are then found by distributed rounds. The comparison grows with the square of the number of
 distinct fingerprints: that is the method's price. A tile's size is fixed, so memory is not affected.
+
+Where a similarity is asked for, these components only say which texts are compared: within one, every two texts
+within ``radius`` bits that nothing has linked yet are compared by the exact Jaccard similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from locusflow.llm._common import fresh, join_by_size, materialize, neutral, table
 from locusflow.llm.components import connected_components
@@ -26,31 +30,55 @@ from locusflow.llm.components import connected_components
 TILE = 8192
 ROWS = 256
 SEED = 42
+#: Most shingles and most texts of a block whose shingle sets are compared in one task.
+SHINGLES = 1 << 21
+BLOCK = 4096
 #: 2 to the 63rd: makes every long a number of 20 digits at most that is not negative.
 _OFFSET = "9223372036854775808"
 
 
-def fingerprint(text: str | None, shingle: int, wide: bool) -> bytes:
-    """The fingerprint as 8 or 16 big-endian bytes: a bit is 1 if more than half of the shingles' hashes have it."""
-    size = 16 if wide else 8
+def shingles(text: str | None, shingle: int) -> list[bytes]:
+    """All runs of ``shingle`` words, or the whole of a shorter text; an empty text has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return bytes(size)
-    run = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return run(joined, SEED)
+        return [joined]
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     begin, end = (ends - lengths)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    raw = b"".join([run(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)])
-    rows = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
+    return [joined[a:b] for a, b in zip(begin, end, strict=True)]
+
+
+def _majority(digests: list[bytes], size: int) -> bytes:
+    if len(digests) < 2:
+        return digests[0] if digests else bytes(size)
+    rows = np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, size)
     ones = np.zeros(size * 8, dtype=np.int64)
     for i in range(0, len(rows), 1 << 16):
         ones += np.unpackbits(rows[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > len(rows)).tobytes()
 
 
+def fingerprint(text: str | None, shingle: int, wide: bool) -> bytes:
+    """The fingerprint as 8 or 16 big-endian bytes: a bit is 1 if more than half of the shingles' hashes have it."""
+    run = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
+    return _majority([run(x, SEED) for x in shingles(text, shingle)], 16 if wide else 8)
+
+
+def set_prints(text: str | None, shingle: int, wide: bool) -> tuple[bytes, bytes, int]:
+    """Fingerprint over the distinct shingles, a 128-bit name of their set, and their number."""
+    run = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
+    digests = sorted({run(x, SEED) for x in shingles(text, shingle)})
+    return _majority(digests, 16 if wide else 8), xxhash.xxh3_128_digest(b"".join(digests), SEED), len(digests)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(x, SEED) for x in shingles(text, shingle)], dtype=np.uint64).view(np.int64))
+
+
 def add_fingerprints(docs: DataFrame, columns: list[str], text_col: str, shingle: int, wide: bool, out: str) -> DataFrame:
     """``columns`` of ``docs`` and ``out``: the fingerprint as lower-case hexadecimal digits."""
     kept = docs.select(*columns, F.col(text_col).alias("_text_"))
@@ -63,6 +91,19 @@ def add_fingerprints(docs: DataFrame, columns: list[str], text_col: str, shingle
     return kept.mapInPandas(run, schema)
 
 
+def add_set_prints(docs: DataFrame, columns: list[str], text_col: str, shingle: int, wide: bool) -> DataFrame:
+    """``columns`` of ``docs``, the text as ``_text_``, and ``fp``, ``sig``, ``m`` of ``set_prints``."""
+    kept = docs.select(*columns, F.col(text_col).alias("_text_"))
+    schema = StructType([*kept.schema.fields]).add("fp", "string").add("sig", "string").add("m", "long")
+
+    def run(batches):
+        for pdf in batches:
+            made = [set_prints(t, shingle, wide) for t in pdf["_text_"]]
+            yield pdf.assign(fp=[f.hex() for f, _, _ in made], sig=[s.hex() for _, s, _ in made], m=[m for _, _, m in made])
+
+    return kept.mapInPandas(run, schema)
+
+
 def _tiles(histogram: dict[int, int], radius: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
     """Tiles ``(low, high, part, parts)`` in order of population count, and the last tile that each must meet."""
     ranges: list[list[int]] = []
@@ -174,35 +215,109 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
     return left.join(right.hint("shuffle_hash"), "u").mapInPandas(run, "a string, b string")
 
 
+def similar(rows: pd.DataFrame, radius: int, similarity: float) -> list[tuple[str, str]]:
+    """A spanning forest of the links among ``rows`` (``node, fp, part, s``): pairs within ``radius`` bits and of the similarity.
+
+    Where ``rows`` are of two parts, only pairs across them are compared.
+    """
+    names, part, sets = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["s"].to_list()
+    bits, sizes = _unpack(rows["fp"]), np.array([len(x) for x in sets])
+    parent, across = np.arange(len(rows)), len(set(part)) > 1
+    out = []
+    for i in range(len(rows) - 1):
+        apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        fit = np.minimum(sizes[i], sizes[i + 1 :]) / np.maximum(sizes[i], sizes[i + 1 :]) >= similarity
+        fit &= (apart <= radius) & (parent[i + 1 :] != parent[i])
+        if across:
+            fit &= part[i + 1 :] != part[i]
+        for j in np.nonzero(fit)[0] + i + 1:
+            if parent[i] == parent[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both / (sizes[i] + sizes[j] - both) >= similarity:
+                out.append((names[i], names[j]))
+                parent[parent == parent[j]] = parent[i]
+    return out
+
+
+def similar_links(prints: DataFrame, nodes: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """``a, b``: links between ``nodes`` (``sig, fp, m, n, node``) whose shingle sets are at least that similar.
+
+    What the fingerprints link is compared group by group. A group too large for a task is cut into blocks of bounded size, and
+    every two blocks meet.
+    """
+    # a smaller set is like no other but itself
+    able = nodes.filter(F.col("m") / (F.col("m") + 1) >= similarity)
+    prints_ = able.select("fp", F.col("fp").alias("node")).distinct()
+    roots = connected_components(fingerprint_links(prints_, radius)).toDF("fp", "root")
+    grouped = materialize(able.join(roots, "fp", "left").withColumn("g", F.coalesce("root", "fp")).drop("root"), "grouped")
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("k"), F.sum("m").alias("total")).filter("k > 1")
+    blocks = F.greatest(F.ceil(F.col("total") / SHINGLES), F.ceil(F.col("k") / BLOCK)).cast("int")
+    wanted = materialize(grouped.join(sizes.select("g", blocks.alias("blocks")), "g"), "wanted")
+    buckets = max(1, math.ceil((wanted.agg(F.sum("m")).first()[0] or 0) * 2 / SHINGLES))
+    texts = join_by_size(prints.select("sig", "_text_"), wanted.select("sig", "n", "node", "fp", "g", "blocks"), "sig", "n", prints.count())
+
+    def sets(batches):
+        seen = set()  # of equal sets a task passes on one
+        for pdf in batches:
+            pdf = pdf[~pdf["node"].duplicated() & ~pdf["node"].isin(seen)]
+            seen.update(pdf["node"])
+            for i in range(0, len(pdf), ROWS):
+                some = pdf.iloc[i : i + ROWS]
+                yield some[["node", "fp", "g", "blocks"]].assign(s=[shingle_set(t, shingle) for t in some["_text_"]])
+
+    part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    held = texts.mapInPandas(sets, "node string, fp string, g string, blocks int, s array<long>").withColumn("part", part)
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(" ", "g", F.least("part", j), F.greatest("part", j)))
+    alone = F.array(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("string"))
+    placed = held.withColumn("task", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(meets))).drop("blocks")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = [e for _, rows in pdf.drop_duplicates("node").groupby("g") for e in similar(rows, radius, similarity)]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype=object)
+
+    return placed.groupBy("task").applyInPandas(run, "a string, b string")
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
     wide: bool = True,
-    radius: int = 22,
+    radius: int = 32,
     extra: tuple[str, ...] = (),
+    similarity: float | None = 0.8,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the ``extra`` columns, ``fingerprint``, ``component_id``.
 
-    Texts whose fingerprints differ in at most ``radius`` bits are linked; a component's id is its smallest
-    ``doc_id``. Two texts of shingle similarity 0.8 differ in about 15 % of the bits. Null and empty texts
-    have no shingles and the fingerprint zero, which is linked like any other; repeated rows share everything;
-    null ids are kept and never chosen unless a component has no other; an empty table gives an empty
-    result. Columns not named play no part.
+    Texts whose fingerprints differ in at most ``radius`` bits and whose sets of shingles have a Jaccard similarity of at
+    least ``similarity`` are linked, equal sets always; a component's id is its smallest ``doc_id``. The fingerprints are then of
+    the distinct shingles. Two texts of similarity 0.8 differ in about 15 % of the bits. Without a similarity the
+    fingerprints alone, over all shingles, decide. Null and empty texts have no shingles and the fingerprint zero and are
+    equal; repeated rows share everything; null ids are kept and never chosen unless a component has no other; an empty
+    table gives an empty result. Columns not named play no part.
     """
     kept = neutral(docs.select(id_col, *extra, text_col))
     *carried, body = kept.columns
     id_, *others = carried
-    prints = materialize(add_fingerprints(kept, carried, body, shingle, wide, "fp"), "fingerprints")
+    if similarity is None:
+        prints, key = add_fingerprints(kept, carried, body, shingle, wide, "fp").withColumn("m", F.lit(0)), "fp"
+    else:
+        prints, key = add_set_prints(kept, carried, body, shingle, wide), "sig"
+    prints = materialize(prints, "fingerprints")
     # a node's name begins with its smallest id, so the smallest node of a component names the component's id
-    nodes = prints.groupBy("fp").agg(F.min(id_).cast("long").alias("rep"), F.count("*").alias("n"))
-    nodes = nodes.select("fp", "n", "rep", node_name(F.col("rep"), F.col("fp")).alias("node"))
-    nodes = materialize(nodes, "nodes")
-    members = connected_components(fingerprint_links(nodes.select("fp", "node"), radius))
+    nodes = prints.groupBy(*dict.fromkeys([key, "fp", "m"])).agg(F.min(id_).cast("long").alias("rep"), F.count("*").alias("n"))
+    nodes = materialize(nodes.withColumn("node", node_name(F.col("rep"), F.col(key))), "nodes")
+    if similarity is None:
+        links = fingerprint_links(nodes.select("fp", "node"), radius)
+    else:
+        links = similar_links(prints, nodes, shingle, radius, similarity)
+    members = connected_components(links)
     named = F.when(F.col("root").isNull(), F.col("rep")).otherwise(node_rep(F.col("root")))
-    every = materialize(nodes.join(members, "node", "left").select("fp", "n", named.alias("component_id")), "named")
-    return join_by_size(prints, every, "fp", "n", prints.count()).select(id_, *others, "fp", "component_id").toDF("doc_id", *extra, "fingerprint", "component_id")
+    every = materialize(nodes.join(members, "node", "left").select(key, "n", named.alias("component_id")), "named")
+    rows = prints.select(*carried, *dict.fromkeys([key, "fp"]))
+    return join_by_size(rows, every, key, "n", prints.count()).select(id_, *others, "fp", "component_id").toDF("doc_id", *extra, "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -217,4 +332,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op3_simhash_tiles(spark, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, wide=False, radius=4)
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, wide=False, radius=4, similarity=None)

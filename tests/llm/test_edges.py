@@ -115,6 +115,38 @@ def test_near_copies_of_five_word_shingles(spark):
     assert {r.doc_id: r.component_id for r in simhash.simhash_groups(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_similarity_of_shingles_decides(spark):
+    rng = np.random.default_rng(8)
+    rows, want, made = [], {}, lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    for g in range(60):
+        base = made(400)
+        other = list(base)
+        # a tail of t new words leaves 396 - t of 396 + t shingles: 44 gives 0.8 exactly, 45 less, 70 gives 0.7
+        t = (44, 45, 70)[g % 3]
+        other[400 - t :] = made(t)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (t != 44)}
+    same = "again " * 2000  # one shingle outweighs all others of a text, but is one of its set
+    rows += [(1000 + i, same + " ".join(made(100))) for i in range(2)]
+    want |= {1000: 1000, 1001: 1001}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.simhash_groups(df).collect()} == want
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(want.values())
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        text[i * 7] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(simhash, "BLOCK", 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash.simhash_groups(df).collect()} == {0}
+
+
 def test_tiles_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(4)
     core = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
