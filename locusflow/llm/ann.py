@@ -33,6 +33,8 @@ CALIBRATED = 0.97
 #: The test's significance: larger drops fewer true neighbours.
 EPSILON = 2.1
 HEAD = 64
+#: Distances of equal rows differ by rounding: limits on them are loosened by this share and this much.
+LOOSE = (1 + 1e-9, 1e-12)
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -108,29 +110,31 @@ def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, spare: int = 8) -> np
 
     The first ``HEAD`` rows are measured in full and give the first k-th best distance. The rest is scanned in column
     blocks: after ``d`` of ``D`` columns a row is dropped if its partial distance, scaled by D / d, exceeds the k-th best
-    by more than ``(1 + EPSILON / sqrt(d))`` squared.
+    by more than ``(1 + EPSILON / sqrt(d))`` squared, and what the ``k`` best so far have in these columns.
     """
     head = rows[:HEAD]
     near = ((head - q) ** 2).sum(axis=1)
     if len(rows) > len(head):
-        bound = np.partition(near, k - 1)[k - 1] if len(near) >= k else np.inf
+        bound = np.partition(near, k - 1)[k - 1] * LOOSE[0] + LOOSE[1] if len(near) >= k else np.inf
         width = rows.shape[1]
         alive = np.arange(len(head), len(rows))
         part = np.zeros(len(alive))
+        lead = ((head[near <= bound] - q) ** 2).cumsum(axis=1)  # what ties with a best head row fares no worse than it
         for at in range(0, width, COLUMNS):
             end = min(at + COLUMNS, width)
             gap = rows[alive, at:end] - q[at:end]
             part = part + (gap * gap).sum(axis=1)
             if end < width:
-                keep = part * (width / end) <= bound * (1 + EPSILON / math.sqrt(end)) ** 2
+                limit = max(bound * (1 + EPSILON / math.sqrt(end)) ** 2, lead[:, end - 1].max() * (width / end) * LOOSE[0] + LOOSE[1])
+                keep = part * (width / end) <= limit
                 alive, part = alive[keep], part[keep]
                 if not len(alive):
                     break
         near, where = np.concatenate([near, part]), np.concatenate([np.arange(len(head)), alive])
     else:
         where = np.arange(len(head))
-    if len(near) > k + spare:  # rounding may swap rows at the edge: a few more are scored exactly
-        edge = np.partition(near, k + spare - 1)[k + spare - 1]
+    if len(near) > k + spare:  # rounding may swap rows at the edge: a few more and all ties are scored exactly
+        edge = np.partition(near, k + spare - 1)[k + spare - 1] * LOOSE[0] + LOOSE[1]
         where = where[near <= edge]
     return where
 
@@ -224,7 +228,8 @@ def search(
             for qid, q, w in zip(right["query_id"], asked_, turned, strict=True):
                 mine = ids != qid
                 pos = adaptive_scan(w, u, k) if mine.all() else np.nonzero(mine)[0][adaptive_scan(w, u[mine], k)]
-                score = (v[pos] @ q) / (size[pos] * math.sqrt((q * q).sum()))
+                # a sum row by row: a matrix product may give equal rows different doubles
+                score = (v[pos] * q).sum(axis=1) / (size[pos] * math.sqrt((q * q).sum()))
                 best = np.lexsort((ids[pos], -score))[:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[pos[best]], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})

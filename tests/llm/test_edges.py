@@ -360,6 +360,15 @@ def test_adaptive_scan_keeps_the_nearest():
     assert found >= 240
 
 
+def test_adaptive_scan_keeps_all_ties():
+    rng = np.random.default_rng(12)
+    one = rng.standard_normal(64)
+    rows = np.tile(one / np.linalg.norm(one), (2000, 1)) @ ann.rotation(64)
+    for _ in range(50):
+        q = one + 0.1 * rng.standard_normal(64)
+        assert len(ann.adaptive_scan(q / np.linalg.norm(q) @ ann.rotation(64), rows, 5)) == 2000
+
+
 def test_segments_and_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "SEGMENT", 20)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
