@@ -14,31 +14,52 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Most bytes of one batch for a Python worker.
+BATCH_BYTES = str(8 << 20)
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = f"{64 << 20}b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; Python workers of the session get it in small batches."""
+    batches_by_bytes(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A local one only where that is unset and all tasks run in the driver (tests); on a cluster an unset folder is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "locusflow-scratch")
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(base)
-    return base
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "locusflow-scratch")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
     This cuts the lineage without leaving blocks on one executor, so a lost executor costs only the
-    tasks that were running on it.
+    tasks that were running on it. The table is deleted when the driver ends: results may read it until then.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/locusflow-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{scratch_dir(spark)}/locusflow-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Lower the bytes that one batch for a Python worker may have, unless the session sets that bound itself.
+
+    Ten thousand rows can be any amount of text, and a worker holds several times what it is given.
+    """
+    if spark.conf.get(_BATCH, None) in (None, _BATCH_DEFAULT):
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def ascii_lower(text: Column) -> Column:

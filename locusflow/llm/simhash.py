@@ -20,11 +20,11 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from locusflow.llm._common import fresh, join_by_size, materialize, neutral, table
+from locusflow.llm._common import join_by_size, materialize, neutral, table
 from locusflow.llm.components import connected_components
 
 TILE = 8192
@@ -33,8 +33,9 @@ SEED = 42
 #: Most shingles and most texts of a block whose shingle sets are compared in one task.
 SHINGLES = 1 << 21
 BLOCK = 4096
-#: 2 to the 63rd: makes every long a number of 20 digits at most that is not negative.
-_OFFSET = "9223372036854775808"
+#: Tile pairs of a task, and most tasks that they are dealt to.
+PAIRS = 4
+MOST_TASKS = 20_000
 
 
 def shingles(text: str | None, shingle: int) -> list[bytes]:
@@ -135,37 +136,29 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _unpack(names) -> np.ndarray:
-    """The fingerprints at the end of node names as rows of 64-bit words, in the order given."""
-    raw = np.frombuffer(bytes.fromhex("".join(x.rpartition(":")[2] for x in names)), dtype=">u8").astype(np.uint64)
-    return raw.reshape(len(names), -1) if len(names) else raw.reshape(0, 1)
+def _unpack(prints) -> np.ndarray:
+    """Fingerprints in hexadecimal digits as rows of 64-bit words, in the order given."""
+    raw = np.frombuffer(bytes.fromhex("".join(prints)), dtype=">u8").astype(np.uint64)
+    return raw.reshape(len(prints), -1) if len(prints) else raw.reshape(0, 1)
 
 
-def node_name(rep: Column, fp: Column) -> Column:
-    """A text that sorts by ``rep`` as a number, null last, and ends in the fingerprint."""
-    place = F.lpad((rep.cast("decimal(20,0)") + F.lit(_OFFSET).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
-    return F.concat_ws(":", F.coalesce(place, F.lit("~" * 20)), fp)
+def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
+    """A spanning forest of the links between two tiles, or within ``left``: pairs of positions in ``left`` and then ``right``.
 
-
-def node_rep(name: Column) -> Column:
-    return (F.substring(name, 1, 20).try_cast("decimal(20,0)") - F.lit(_OFFSET).cast("decimal(20,0)")).cast("long")
-
-
-def linked(left, right, radius: int, same: bool) -> list[tuple[str, str]]:
-    """A spanning forest of the links between two tiles (or within one), as pairs ``(member, root)``."""
-    names = list(left) if same else [*left, *right]
-    bits = _unpack(names)
+    Tiles are rows of 64-bit words.
+    """
+    bits = left if right is None else np.concatenate([left, right])
     count = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     n = len(left)
     mine = np.argsort(count[:n], kind="stable")
-    other = mine if same else n + np.argsort(count[n:], kind="stable")
+    other = mine if right is None else n + np.argsort(count[n:], kind="stable")
     there, there_count = np.ascontiguousarray(bits[other].T), count[other]
-    parent = np.arange(len(names))
+    parent = np.arange(len(bits))
     for at in range(0, n, ROWS):
         rows = mine[at : at + ROWS]
         low = np.searchsorted(there_count, count[rows[0]] - radius, side="left")
         high = np.searchsorted(there_count, count[rows[-1]] + radius, side="right")
-        if same:
+        if right is None:
             low = max(low, at)  # earlier rows have met these
         if low >= high:
             continue
@@ -177,50 +170,68 @@ def linked(left, right, radius: int, same: bool) -> list[tuple[str, str]]:
         keep = i != j
         if keep.any():
             parent = _unite(parent, i[keep], j[keep])
-    found = np.nonzero(parent != np.arange(len(names)))[0]
-    return [(names[k], names[parent[k]]) for k in found]
+    found = np.nonzero(parent != np.arange(len(bits)))[0]
+    return np.stack([found, parent[found]], axis=1)
 
 
 def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
-    """``a, b``: a spanning forest of all links between distinct fingerprints ``fp``, by their ``node`` names."""
+    """``a, b``: a spanning forest of all links between the distinct fingerprints ``fp`` (hexadecimal digits).
+
+    A pair of tiles is a row of its own, packed, and so many tasks get them that none has more than about ``PAIRS``.
+    """
     spark = prints.sparkSession
     # the count is taken word by word: bit_count works on longs
     words = F.transform(
         F.sequence(F.lit(0), (F.length("fp") / 8 - 1).cast("int")),
         lambda i: F.conv(F.substring(F.col("fp"), i * 8 + 1, F.lit(8)), 16, 10).cast("long"),
     )
-    counted = prints.withColumn("p", F.aggregate(words, F.lit(0), lambda a, x: a + F.bit_count(x)))
-    histogram = {r["p"]: r["count"] for r in counted.groupBy("p").count().collect()}  # one row per population count
-    tiles, last = _tiles(histogram, radius)
+    counted = prints.select("fp", F.aggregate(words, F.lit(0), lambda a, x: a + F.bit_count(x)).alias("p"))
+    rows = counted.groupBy("p").agg(F.count("*").alias("n"), F.max(F.length("fp")).alias("digits")).collect()  # one row per population count
+    tiles, last = _tiles({r["p"]: r["n"] for r in rows}, radius)
     if not tiles:
         return spark.createDataFrame([], "a string, b string")
-    # 10 fields a tile on the driver; each popcount knows its first tile and its number of parts
+    n_words = max(r["digits"] for r in rows) // 16
+    # some numbers a tile on the driver; each popcount knows its first tile and its number of parts
     first: dict[int, tuple[int, int]] = {}
     for t, (low, high, _, parts) in enumerate(tiles):
         for p in range(low, high + 1):
             first.setdefault(p, (t, parts))
     where = spark.createDataFrame([(p, t, parts) for p, (t, parts) in first.items()], "p int, t0 int, parts int")
-    reach = spark.createDataFrame(list(enumerate(last)), "t int, upto int")
-    placed = counted.join(F.broadcast(where), "p").select("node", (F.col("t0") + F.pmod(F.xxhash64("fp"), "parts")).cast("int").alias("t"))
-    blobs = materialize(placed.groupBy("t").agg(F.collect_list("node").alias("fps")), "tiles")
-    left = blobs.join(F.broadcast(reach), "t").select("t", F.col("fps").alias("mine"), F.explode(F.sequence("t", "upto")).alias("u"))
-    right = blobs.select(F.col("t").alias("u"), F.col("fps").alias("others"))
+    since, at = [], 0  # the tiles that meet a tile are a run, since ``last`` never falls
+    for u in range(len(tiles)):
+        while last[at] < u:
+            at += 1
+        since.append(at)
+    reach = F.broadcast(spark.createDataFrame([(t, last[t], since[t]) for t in range(len(tiles))], "t int, upto int, since int"))
+    tasks = min(MOST_TASKS, math.ceil(sum(u - t + 1 for t, u in enumerate(last)) / PAIRS))
+    placed = counted.join(F.broadcast(where), "p").select("fp", (F.col("t0") + F.pmod(F.xxhash64("fp"), "parts")).cast("int").alias("t"))
+    packed = F.unhex(F.array_join(F.collect_list("fp"), "")).alias("bits")
+    blobs = materialize(placed.groupBy("t").agg(packed), "tiles").join(reach, "t")
+    left = blobs.select("t", F.explode(F.sequence("t", "upto")).alias("u"), F.col("bits").alias("mine"))
+    right = blobs.select(F.col("t").alias("u"), F.explode(F.sequence("since", "t")).alias("t"), F.col("bits").alias("others"))
+    right = right.filter("t < u")
+    pairs = left.repartition(tasks, "t", "u").join(right.repartition(tasks, "t", "u").hint("merge"), ["t", "u"], "left")
 
     def run(batches):
         for pdf in batches:
-            for t, u, mine, others in zip(pdf["t"], pdf["u"], pdf["mine"], pdf["others"], strict=True):
-                if edges := linked(mine, others, radius, t == u):
-                    yield pd.DataFrame(edges, columns=["a", "b"])
+            for mine, others in zip(pdf["mine"], pdf["others"], strict=True):
+                raw = bytes(mine) + bytes(others or b"")
+                bits = np.frombuffer(raw, dtype=">u8").reshape(-1, n_words).astype(np.uint64)
+                cut = len(mine) // (8 * n_words)
+                found = linked(bits[:cut], bits[cut:] if others else None, radius)
+                if len(found):
+                    size, digits = 16 * n_words, raw.hex()
+                    yield pd.DataFrame([(digits[i * size : (i + 1) * size], digits[j * size : (j + 1) * size]) for i, j in found.tolist()], columns=["a", "b"])
 
-    return left.join(right.hint("shuffle_hash"), "u").mapInPandas(run, "a string, b string")
+    return pairs.select("mine", "others").mapInPandas(run, "a string, b string")
 
 
 def similar(rows: pd.DataFrame, radius: int, similarity: float) -> list[tuple[str, str]]:
-    """A spanning forest of the links among ``rows`` (``node, fp, part, s``): pairs within ``radius`` bits and of the similarity.
+    """A spanning forest of the links among ``rows`` (``sig, fp, part, s``): pairs within ``radius`` bits and of the similarity.
 
     Where ``rows`` are of two parts, only pairs across them are compared.
     """
-    names, part, sets = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["s"].to_list()
+    names, part, sets = rows["sig"].to_numpy(), rows["part"].to_numpy(), rows["s"].to_list()
     bits, sizes = _unpack(rows["fp"]), np.array([len(x) for x in sets])
     parent, across = np.arange(len(rows)), len(set(part)) > 1
     out = []
@@ -241,44 +252,67 @@ def similar(rows: pd.DataFrame, radius: int, similarity: float) -> list[tuple[st
 
 
 def similar_links(prints: DataFrame, nodes: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
-    """``a, b``: links between ``nodes`` (``sig, fp, m, n, node``) whose shingle sets are at least that similar.
+    """``a, b``: links between ``nodes`` (``sig, fp, m, first``) whose shingle sets are at least that similar.
 
     What the fingerprints link is compared group by group. A group too large for a task is cut into blocks of bounded size, and
-    every two blocks meet.
+    every two blocks meet. Of equal sets one text, that of row ``first.rid``, is moved.
     """
     # a smaller set is like no other but itself
     able = nodes.filter(F.col("m") / (F.col("m") + 1) >= similarity)
-    prints_ = able.select("fp", F.col("fp").alias("node")).distinct()
-    roots = connected_components(fingerprint_links(prints_, radius)).toDF("fp", "root")
-    grouped = materialize(able.join(roots, "fp", "left").withColumn("g", F.coalesce("root", "fp")).drop("root"), "grouped")
+    roots = connected_components(fingerprint_links(able.select("fp").distinct(), radius)).toDF("fp", "root")
+    grouped = able.select("sig", "fp", "m", F.col("first.rid").alias("rid")).join(roots, "fp", "left")
+    grouped = materialize(grouped.withColumn("g", F.coalesce("root", "fp")).drop("root"), "grouped")
     sizes = grouped.groupBy("g").agg(F.count("*").alias("k"), F.sum("m").alias("total")).filter("k > 1")
     blocks = F.greatest(F.ceil(F.col("total") / SHINGLES), F.ceil(F.col("k") / BLOCK)).cast("int")
-    wanted = materialize(grouped.join(sizes.select("g", blocks.alias("blocks")), "g"), "wanted")
-    buckets = max(1, math.ceil((wanted.agg(F.sum("m")).first()[0] or 0) * 2 / SHINGLES))
-    texts = join_by_size(prints.select("sig", "_text_"), wanted.select("sig", "n", "node", "fp", "g", "blocks"), "sig", "n", prints.count())
+    wanted = materialize(join_by_size(grouped, sizes.select("g", "k", blocks.alias("blocks")), "g", "k", grouped.count()), "wanted")
+    tasks = max(1, math.ceil((wanted.agg(F.sum("m")).first()[0] or 0) * 2 / SHINGLES))
+    texts = prints.select("rid", "_text_").join(wanted.select("rid", "sig", "fp", "g", "blocks"), "rid")
 
     def sets(batches):
-        seen = set()  # of equal sets a task passes on one
         for pdf in batches:
-            pdf = pdf[~pdf["node"].duplicated() & ~pdf["node"].isin(seen)]
-            seen.update(pdf["node"])
             for i in range(0, len(pdf), ROWS):
                 some = pdf.iloc[i : i + ROWS]
-                yield some[["node", "fp", "g", "blocks"]].assign(s=[shingle_set(t, shingle) for t in some["_text_"]])
+                yield some[["sig", "fp", "g", "blocks"]].assign(s=[shingle_set(t, shingle) for t in some["_text_"]])
 
-    part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    held = texts.mapInPandas(sets, "node string, fp string, g string, blocks int, s array<long>").withColumn("part", part)
+    part = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    held = texts.mapInPandas(sets, "sig string, fp string, g string, blocks int, s array<long>").withColumn("part", part)
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(" ", "g", F.least("part", j), F.greatest("part", j)))
-    alone = F.array(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("string"))
+    alone = F.array(F.pmod(F.xxhash64("g"), F.lit(tasks)).cast("string"))
     placed = held.withColumn("task", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(meets))).drop("blocks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = [e for _, rows in pdf.drop_duplicates("node").groupby("g") for e in similar(rows, radius, similarity)]
+        edges = [e for _, rows in pdf.groupby("g") for e in similar(rows, radius, similarity)]
         return pd.DataFrame(edges, columns=["a", "b"], dtype=object)
 
     return placed.groupBy("task").applyInPandas(run, "a string, b string")
 
 
+def _grouped(docs: DataFrame, id_: str, body: str, shingle: int, wide: bool, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of ``docs`` with ``rid``, a number of their own, and their fingerprints; what is known of each ``key``; the key's name.
+
+    What is known is ``n``, how many rows have it, and ``best``, the first row (by id, null last, then number) of its component.
+    """
+    columns = [c for c in docs.columns if c != body]
+    rows = docs.withColumn("rid", F.monotonically_increasing_id())
+    if similarity is None:
+        prints, key = add_fingerprints(rows, [*columns, "rid"], body, shingle, wide, "fp").withColumn("m", F.lit(0)), "fp"
+    else:
+        prints, key = add_set_prints(rows, [*columns, "rid"], body, shingle, wide), "sig"
+    prints = materialize(prints, "fingerprints")
+    first = F.struct(F.col(id_).isNull().alias("no_id"), F.col(id_).alias("id"), F.col("rid").alias("rid"))
+    nodes = materialize(prints.groupBy(*dict.fromkeys([key, "fp", "m"])).agg(F.min(first).alias("first"), F.count("*").alias("n")), "nodes")
+    if similarity is None:
+        links = fingerprint_links(nodes, radius)
+    else:
+        links = similar_links(prints, nodes, shingle, radius, similarity)
+    members = materialize(connected_components(links).withColumnRenamed("node", key), "members")
+    firsts = members.join(nodes.select(key, "first"), key)
+    best = materialize(firsts.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("k")), "best")
+    of = join_by_size(members, best, "root", "k", members.count()).select(key, "best")
+    every = nodes.join(of, key, "left").select(key, "n", F.coalesce("best", "first").alias("best"))
+    return prints, materialize(every, "named"), key
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -299,36 +333,34 @@ def simhash_groups(
     table gives an empty result. Columns not named play no part.
     """
     kept = neutral(docs.select(id_col, *extra, text_col))
-    *carried, body = kept.columns
-    id_, *others = carried
-    if similarity is None:
-        prints, key = add_fingerprints(kept, carried, body, shingle, wide, "fp").withColumn("m", F.lit(0)), "fp"
-    else:
-        prints, key = add_set_prints(kept, carried, body, shingle, wide), "sig"
-    prints = materialize(prints, "fingerprints")
-    # a node's name begins with its smallest id, so the smallest node of a component names the component's id
-    nodes = prints.groupBy(*dict.fromkeys([key, "fp", "m"])).agg(F.min(id_).cast("long").alias("rep"), F.count("*").alias("n"))
-    nodes = materialize(nodes.withColumn("node", node_name(F.col("rep"), F.col(key))), "nodes")
-    if similarity is None:
-        links = fingerprint_links(nodes.select("fp", "node"), radius)
-    else:
-        links = similar_links(prints, nodes, shingle, radius, similarity)
-    members = connected_components(links)
-    named = F.when(F.col("root").isNull(), F.col("rep")).otherwise(node_rep(F.col("root")))
-    every = materialize(nodes.join(members, "node", "left").select(key, "n", named.alias("component_id")), "named")
-    rows = prints.select(*carried, *dict.fromkeys([key, "fp"]))
-    return join_by_size(rows, every, key, "n", prints.count()).select(id_, *others, "fp", "component_id").toDF("doc_id", *extra, "fingerprint", "component_id")
+    id_, *others, body = kept.columns
+    prints, every, key = _grouped(kept, id_, body, shingle, wide, radius, similarity)
+    rows = prints.select(id_, *others, *dict.fromkeys([key, "fp"]))
+    out = join_by_size(rows, every, key, "n", prints.count())
+    return out.select(id_, *others, "fp", F.col("best.id").alias("component_id")).toDF("doc_id", *extra, "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; of repeated ids all rows stay. Columns as given.
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    wide: bool = True,
+    radius: int = 32,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies as ``simhash_groups`` finds them. Columns as given, whatever their names.
 
-    Rows with a null id stay only if their component has no other.
+    The row that stays is the one with the smallest id, null last; of repeated ids, and of rows without any, one row as good as any
+    other. Rows and not ids decide: of rows that share an id all are judged by their own texts. Null and empty texts are equal, so that one
+    of them stays; an empty table gives an empty result.
     """
-    name = fresh(docs, "keep_id")[0]
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi").select(docs.columns)
+    kept = neutral(docs.select(*docs.columns, id_col))
+    *carried, id_ = kept.columns
+    body = carried[docs.columns.index(text_col)]
+    prints, every, _ = _grouped(kept, id_, body, shingle, wide, radius, similarity)
+    keep = every.select(F.col("best.rid").alias("rid")).distinct()
+    return prints.join(keep, "rid", "left_semi").select(*["_text_" if c == body else c for c in carried]).toDF(*docs.columns)
 
 
 def op3_simhash_tiles(spark, sf_dir: str) -> DataFrame:
