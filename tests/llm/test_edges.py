@@ -304,19 +304,32 @@ def test_mixing_edges(docs, labels):
     assert drawn.columns == docs.columns and drawn.count() >= 0
 
 
-def test_rates_reach_targets():
-    """The projected steps against a long plain projected gradient."""
+def least_squares(p, t, goal, rounds=20_000):
+    """Nonnegative least squares by a long accelerated projected gradient."""
+    r = y = np.ones(len(p))
+    rate, k = 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1], 1.0
+    for _ in range(rounds):
+        new = np.maximum(0, y - rate * (p @ ((y * t) @ p - goal)))
+        k, old = (1 + math.sqrt(1 + 4 * k * k)) / 2, k
+        y, r = new + (old - 1) / k * (new - r), new
+    return ((r * t) @ p - goal) ** 2
+
+
+def test_rates_solve_the_least_squares():
+    """Also where bounds bind, and where no rates can meet the targets."""
     rng = np.random.default_rng(8)
-    p = rng.dirichlet([0.3] * 3, 400)
-    t = rng.integers(1, 50, 400).astype(float)
-    goal = np.array([0.7, 0.2, 0.1]) * t.sum()
-    steps, r = [], np.ones(400)
-    for _ in range(20):
-        have = (r * t) @ p
-        live = t * (r > 0)
-        steps.append(np.linalg.solve((p * live[:, None]).T @ p + 1e-6 * np.eye(3), have - goal))
-        r = mixing.rates(p, steps)
-    assert np.allclose((r * t) @ p, goal, rtol=1e-3) and (r >= 0).all()
+    at_zero = 0
+    for k in range(12):
+        p = rng.dirichlet([0.3] * 4, 300) if k < 8 else 0.1 + 0.6 * rng.dirichlet([0.3] * 4, 300)  # the last cannot give 0.97 to one
+        t = rng.integers(0, 50, 300).astype(float)
+        shares = np.array([0.9, 0.05, 0.03, 0.02] if k < 8 else [0.97, 0.01, 0.01, 0.01])
+        fit = mixing.descend(lambda f, p=p, t=t: f(p, t), shares, 1.1)
+        r = mixing.rates(p, fit.step)
+        assert fit.settled and (r >= 0).all() and np.allclose((r * t) @ p / t.sum(), fit.have)
+        at_zero += (r == 0).sum()
+        off = math.sqrt(((fit.have - fit.goal) ** 2).sum())
+        assert off <= (3e-5 if k < 8 else 1.01 * math.sqrt(least_squares(p, t / t.sum(), fit.goal).sum()))
+    assert at_zero > 300
 
 
 def test_line_edges(spark, docs):
