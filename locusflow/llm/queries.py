@@ -26,4 +26,27 @@ QUERIES = {
     "op10_hmm_scores": op10_hmm_scores,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE: dict[str, str] = {
+    "op7_ngram_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (
+    SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+places AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size),
+hits AS (
+    SELECT p.rid, p.i, p.size, v.item FROM (SELECT rid, i, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM places) AS p
+    JOIN wins AS v ON v.size = p.size AND v.win = p.win
+),
+hit_words AS (
+    SELECT rid, count(DISTINCT x) AS n FROM (SELECT DISTINCT rid, i, size FROM hits) AS h, unnest(range(h.i, h.i + h.size)) AS u(x) GROUP BY rid
+),
+items AS (SELECT rid, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS listed FROM hits GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.listed, '')) AS items_sha256,
+    coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words AS h USING (rid) LEFT JOIN items AS t USING (rid)""",
+}

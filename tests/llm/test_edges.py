@@ -191,15 +191,31 @@ def test_decontamination_edges(spark, docs):
     none = decontaminate.contamination(docs, empty(bench))
     assert none.filter(F.size("spans") > 0).count() == 0 and none.count() == docs.count()
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 5, 6, 7]
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text is None) for r in kept.collect()) == [("0", False), ("1", True), ("5", False), ("6", False), ("7", False), ("None", False), ("None", True)]
     cut = {r.doc_id: r.text for r in decontaminate.cut_contaminated(docs.filter("doc_id in (3, 5)").dropDuplicates(), bench).collect()}
     assert cut[3] == "here twice over" and cut[5] == TEXTS[5]
 
 
-def test_decontamination_without_broadcast(docs, spark):
-    bench = spark.createDataFrame([(1, "same text here twice")], "item_id long, text string")
-    a, b = (sorted((str(r.doc_id), str(r.spans)) for r in decontaminate.contamination(docs, bench, max_broadcast=m).collect()) for m in (0, 10))
-    assert a == b
+@pytest.mark.parametrize("bounds", [{"max_bits": 0}, {"max_bits": 0, "max_bytes": 0}, {"max_bytes": 0}])
+def test_decontamination_beyond_its_bounds(docs, spark, bounds):
+    """Neither bound changes the result, and no plan makes every window of every text."""
+    bench = spark.createDataFrame([(1, "same text here twice"), (2, "one"), (3, "mail a.b@c-d.example.com_x@y.z 10.0.0.999 1.2.3.4.5 and more")], "item_id long, text string")
+    a, b = (sorted((str(r.doc_id), r.n_words, str(r.spans), str(r["items"])) for r in decontaminate.contamination(docs, bench, **x).collect()) for x in (bounds, {}))
+    assert a == b and sum("Row" in x[2] for x in a) == 5
+
+
+def test_decontamination_judges_rows_by_their_text(spark):
+    """Ids that are null or repeated, and columns with the operator's names."""
+    hit, clean = "the quick brown fox jumps", "nothing to see here at all"
+    rows = [(None, hit, 1, 2), (None, clean, 1, 2), (7, hit, 1, 2), (7, clean, 1, 2), (8, f"so, {hit}! He said", 1, 2), (9, None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, text_key int")
+    bench = spark.createDataFrame([(1, hit)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[5]]))
+    cut = decontaminate.cut_contaminated(df, bench)
+    assert cut.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in cut.collect()) == [("7", ""), ("7", clean), ("8", "so, He said"), ("9", "None"), ("None", ""), ("None", clean)]
 
 
 def test_sharding_edges(docs):
