@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import join_by_size, materialize, table
+from locusflow.llm._common import fresh, join_by_size, materialize, table
 from locusflow.llm.components import connected_components
 
 SHINGLE = 7
@@ -222,30 +222,29 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
     return connected_components(links.distinct())
 
 
-def line_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, line_no, key`` of every line that is not blank."""
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+def line_occurrences(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, line_no, key`` of every line that is not blank, and of every row once with ``line_no`` null, of columns ``row, doc_id, t``.
+
+    ``n_lines``, where ``line_no`` is null, is the number of all lines.
+    """
 
     def run(batches):
         for pdf in batches:
-            got = [(d, i, line_key(x)) for d, t in zip(pdf["doc_id"], pdf["t"], strict=True) for i, x in normal_lines(t)]
-            out = pd.DataFrame(got, columns=["doc_id", "line_no", "key"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    return some.mapInPandas(run, "doc_id long, line_no int, key binary")
+            got = []
+            for r, d, t in zip(pdf["row"], pdf["doc_id"], pdf["t"], strict=True):
+                got.append((r, d, None, None, t.count("\n") + 1 if t else 1))
+                got += [(r, d, i, line_key(x), None) for i, x in normal_lines(t)]
+            out = pd.DataFrame(got, columns=["row", "doc_id", "line_no", "key", "n_lines"])
+            yield out.assign(**{c: out[c].astype("Int64") for c in ("doc_id", "line_no", "n_lines")})
 
+    return rows.mapInPandas(run, "row long, doc_id long, line_no int, key binary, n_lines long")
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, line_no, first_doc, first_line`` of every line that is not the first of its component.
 
-    Lines are linked if their shingle sets have a Jaccard similarity of ``similarity`` or more; the first is the one with the
-    smallest ``(doc_id, line_no)``. Blank lines, null and empty texts have no part; a line shorter than a shingle is one
-    shingle, so equal only to itself; rows with a null id sort first; of repeated rows each line counts as repeated
-    once; an empty table gives an empty result. Other columns play no part.
-    """
-    lines = materialize(line_occurrences(docs, id_col, text_col), "lines")
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    firsts = materialize(firsts, "firsts")
+def _decided(lines: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The lines that go, with the first of their component as ``best``."""
+    lines = lines.filter(F.col("line_no").isNotNull()).drop("n_lines")
+    at = F.struct("doc_id", "row", "line_no")
+    firsts = materialize(lines.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
     members = materialize(line_components(docs, text_col, similarity), "members")
     linked = members.join(firsts, members["node"] == firsts["key"]).select("node", "root", "first")
     best = materialize(linked.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "best")
@@ -253,23 +252,58 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only keys that occur twice or are linked have lines to remove
     of = firsts.join(of, "key", "left").select("key", F.coalesce("best", "first").alias("best"), "n", "first")
     of = materialize(of.filter((F.col("n") > 1) | (F.col("best") != F.col("first"))).select("key", "n", "best"), "decided")
-    at = F.struct("doc_id", "line_no")
-    return join_by_size(lines, of, "key", "n", lines.count()).filter(~at.eqNullSafe(F.col("best"))).select(
-        "doc_id", "line_no", F.col("best.doc_id").alias("first_doc"), F.col("best.line_no").alias("first_line")
+    return join_by_size(lines, of, "key", "n", lines.count()).filter((F.col("row") != F.col("best.row")) | (F.col("line_no") != F.col("best.line_no")))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, line_no, first_doc, first_line, row`` of every line that is not the first of its component.
+
+    Lines are linked if their shingle sets have a Jaccard similarity of ``similarity`` or more; the first is the one with the
+    smallest ``(doc_id, row, line_no)``, a null id before all others. ``row`` numbers the rows, so that rows that share an id, or
+    have none, keep their lines apart, and of repeated rows only one keeps its lines. Blank lines, null and empty texts have no part; a
+    line shorter than a shingle is one shingle, so equal only to itself; an empty table gives an empty result. Other columns play no part.
+    """
+    lines = materialize(line_occurrences(_numbered(docs, id_col, text_col)), "lines")
+    return _decided(lines, docs, text_col, similarity).select(
+        "doc_id", "line_no", F.col("best.doc_id").alias("first_doc"), F.col("best.line_no").alias("first_line"), "row"
     )
 
 
+def _by_row(gone: DataFrame) -> DataFrame:
+    numbers = F.array_sort(F.collect_list("line_no")).alias("numbers")  # of one text at most
+    return gone.groupBy("row").agg(numbers, F.min("best.doc_id").alias("first_doc"))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the lines that ``repeated_lines`` finds. Columns as given, whatever their names.
+
+    Null texts stay null; a text all of whose lines go is empty; rows that share an id or have none are told apart.
+    """
+    row, numbers = fresh(docs, "row", "numbers")
+    held = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    own = held.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    lines = materialize(line_occurrences(own), "lines")
+    gone = _by_row(_decided(lines, docs, text_col, similarity)).select(F.col("row").alias(row), F.col("numbers").alias(numbers))
+    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col(numbers), i)), "\n")
+    return held.join(gone, row, "left").withColumn(text_col, F.when(F.col(numbers).isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+
+
 def op8_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
-    """Per document: how many lines go, which (numbers from 0, comma-joined), and of how many."""
+    """Per row of ``documents``: how many lines go, which (numbers from 0, comma-joined), and of how many.
+
+    Null and repeated ids are told apart by rows; null and empty texts have one blank line, which stays.
+    """
     docs = table(spark, sf_dir, "documents")
-    gone = repeated_lines(docs)
-    numbers = F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",")
-    per = gone.groupBy("doc_id").agg(F.count("*").alias("n_removed"), numbers.alias("removed"), F.min("first_doc").alias("first_doc"))
-    some = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    return some.join(per, "doc_id", "left").select(
+    lines = materialize(line_occurrences(_numbered(docs, "doc_id", "text")), "lines")
+    per = _by_row(_decided(lines, docs, "text", SIMILARITY))
+    return lines.filter(F.col("line_no").isNull()).select("row", "doc_id", "n_lines").join(per, "row", "left").select(
         "doc_id",
         "n_lines",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("removed", F.lit("")).alias("removed"),
+        F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.transform("numbers", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"),
         "first_doc",
     )

@@ -7,7 +7,8 @@ source in the proportion in which the whole table holds it.
 Neither ranking uses one window over a source or over the table. Hash buckets (about the square root of
 the row count) split each source into slices of similar size; the slices are numbered on their own and
 shifted by the counts of the slices before them. A source with a third of all rows is therefore spread
-over as many tasks as there are buckets, and what is summed in one place is bucket counts only.
+over as many tasks as there are buckets, and what is summed in one place is bucket counts only. Rows that
+share their hash (repeated or missing ids) and are many are hashed again by their place in the input.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusflow.llm._common import fresh, materialize, table
+
 _HASH_BITS = 52
 
 
@@ -39,8 +42,9 @@ def shard_assignments(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, text_crc32, rank, shard, slot``.
+    """One row per input row: ``doc_id, source, size, text_crc32, rank, shard, slot`` and the ``extra`` columns of ``docs``.
 
     ``shard`` counts differ by at most one row; ``slot`` numbers a shard's rows from 0 without gaps in
     interleaved order. A null source is a stratum of its own; a null text has size 8 and checksum 0; a
@@ -49,6 +53,7 @@ def shard_assignments(
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.select(
+        *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)],
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_s"),
@@ -59,6 +64,9 @@ def shard_assignments(
         .alias("_h"),
     )
     n = docs.select(id_col).count()
+    many = F.broadcast(rows.groupBy("_h").count().filter(F.col("count") * 1000 > F.greatest(F.lit(n), F.lit(1000))).select("_h", F.lit(True).alias("_many")))
+    again = F.conv(F.substring(F.md5(F.concat_ws(":", "_h", F.monotonically_increasing_id().cast("string"))), 1, _HASH_BITS // 4), 16, 10).cast("long")
+    rows = rows.join(many, "_h", "left").withColumn("_h", F.when(F.col("_many"), again).otherwise(F.col("_h"))).drop("_many")
     buckets = max(16, math.ceil(2 * math.sqrt(n)))
     rows = rows.withColumn("_b", F.floor(F.col("_h") / float(2**_HASH_BITS) * buckets))
     order = [F.col(c) for c in ("_h", "doc_id", "text_crc32", "size")]
@@ -77,8 +85,11 @@ def shard_assignments(
     return (
         placed.withColumn("shard", shard)
         .withColumn("slot", pos - first)
-        .select("doc_id", "source", "size", "text_crc32", "rank", F.least(F.col("shard"), k - 1).cast("int").alias("shard"), "slot")
-    )
+        .select(
+            "doc_id", "source", "size", "text_crc32", "rank", F.least(F.col("shard"), k - 1).cast("int").alias("shard"), "slot",
+            *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)],
+        )
+    )
 
 
 def ranked_sizes(docs: DataFrame, source_col: str) -> DataFrame:
@@ -87,27 +98,22 @@ def ranked_sizes(docs: DataFrame, source_col: str) -> DataFrame:
     return docs.select(s).groupBy("_s").agg(F.count("*").alias("_n"))
 
 
-def write_shards(docs: DataFrame, assignments: DataFrame, path: str, id_col: str = "doc_id") -> str:
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24, **options) -> str:
     """Write one folder per shard with the whole rows of ``docs`` in slot order; returns the folders' key.
 
-    The key is ``shard``, or ``shard_`` and so on where ``docs`` has a column of that name. ``docs`` must have unique ids; the join
-    moves each text once.
+    The key is ``shard``, or ``_shard`` and so on where ``docs`` has a column of that name. Every row is written once, whatever its id: the
+    rows get numbers of their own, and the join by these moves each text once. An empty table writes no folder.
     """
-    taken = {c.lower() for c in docs.columns}
-    key, slot = "shard", "slot"
-    while key in taken:
-        key += "_"
-    while slot in taken:
-        slot += "_"
-    place = assignments.select(F.col("doc_id").alias(id_col), F.col("shard").alias(key), F.col("slot").alias(slot))
-    whole = docs.join(place, id_col).repartition(key).sortWithinPartitions(key, slot)
-    whole.drop(slot).write.partitionBy(key).parquet(path)
+    key, slot, number = fresh(docs, "shard", "slot", "row_number")
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    place = shard_assignments(rows, n_shards, extra=(number,), **options)
+    place = place.select(F.col(number), F.col("shard").alias(key), F.col("slot").alias(slot))
+    whole = rows.join(place, number).repartition(key).sortWithinPartitions(key, slot)
+    whole.select(*docs.columns, key).write.partitionBy(key).parquet(path)
     return key
 
 
 def op6_stratified_shards(spark, sf_dir: str) -> DataFrame:
-    from locusflow.llm._common import table
-
     out = shard_assignments(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",

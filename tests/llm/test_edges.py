@@ -229,10 +229,17 @@ def test_sharding_edges(docs):
 
 
 def test_write_shards(docs, spark, tmp_path):
-    some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    assert sharding.write_shards(some, sharding.shard_assignments(some, 2), str(tmp_path / "s")) == "shard_"
-    back = spark.read.parquet(str(tmp_path / "s" / "shard_=1"))
-    assert back.count() == some.count() // 2 and spark.read.parquet(str(tmp_path / "s")).count() == some.count()
+    """Every row is written once, with null, repeated and missing ids and a column named like the key."""
+    assert sharding.write_shards(docs, str(tmp_path / "s"), 2) == "_shard"
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, (tuple(r) for r in back.select(docs.columns).collect()))) == sorted(map(str, (tuple(r) for r in docs.collect())))
+    assert abs(back.filter("_shard = 0").count() - back.filter("_shard = 1").count()) <= 1
+
+
+def test_repeated_ids_are_spread(spark):
+    same = spark.range(5000).select(F.when(F.col("id") < 4000, 7).alias("doc_id"), F.lit("text").alias("text"), F.lit("s").alias("source"))
+    got = sharding.shard_assignments(same, 7).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("d")).collect()
+    assert len(got) == 7 and all(r.n in (714, 715) and r.last == r.n - 1 and r.d == r.n for r in got)
 
 
 def test_toxicity_edges(spark, docs, labels):
@@ -352,11 +359,30 @@ def test_line_edges(spark, docs):
     rows = [(1, "Alpha line of some length here\n\nshort\nAlpha line of some length here"), (2, "alpha line of some length here \nshort\nxy"), (3, None), (4, ""), (None, "xy")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
     got = sorted((str(r.doc_id), r.line_no, str(r.first_doc), r.first_line) for r in line_dedup.repeated_lines(df).collect())
+    cut = line_dedup.drop_repeated_lines(df)
+    assert cut.columns == df.columns
+    assert sorted(map(str, map(tuple, cut.collect()))) == sorted(map(str, [(1, "Alpha line of some length here\n\nshort", "k"), (2, "", "k"), (3, None, "k"), (4, "", "k"), (None, "xy", "k")]))
     assert got == [("1", 3, "1", 0), ("2", 0, "1", 0), ("2", 1, "1", 2), ("2", 2, "None", 0)]
     assert line_dedup.repeated_lines(empty(df)).count() == 0
     assert line_dedup.repeated_lines(docs).filter("doc_id = 4").count() == 1
 
 
+def test_lines_of_rows_that_share_an_id(spark, tmp_path):
+    """Of identical rows one keeps its lines; rows with one id or none do not get each other's line numbers."""
+    from locusflow.llm.queries import QUERIES
+
+    rows = [(1, "a line of some length\nnext to another"), (1, "a line of some length\nnext to another"), (1, "only here"), (None, "next to another"), (None, "own line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_lines, r.removed) for r in QUERIES["op8_fuzzy_lines"](spark, str(tmp_path)).collect())
+    assert got in (
+        sorted([("1", 2, "1"), ("1", 2, "0,1"), ("1", 1, ""), ("None", 1, ""), ("None", 1, "")]),
+        sorted([("1", 2, "0,1"), ("1", 2, "1"), ("1", 1, ""), ("None", 1, ""), ("None", 1, "")]),
+    )
+    left = [r.text for r in line_dedup.drop_repeated_lines(df).collect()]
+    assert sorted(left) == sorted(["a line of some length", "", "only here", "next to another", "own line"])
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 5)
     stem = "the very same boilerplate sentence with a number at its very end, which differs by line only: "
