@@ -18,11 +18,12 @@ _BLOCK = 128
 _MARK = "\uffff"
 
 
-def with_matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
+def with_matches(df: DataFrame, text: str, pattern: str, out: str, sign: str) -> DataFrame:
     """Add ``out``: ``array<struct<start, end, m, before, after>>`` of the leftmost non-overlapping matches.
 
     Offsets are code points, ``end`` exclusive; ``before`` and ``after`` are the neighbouring texts up to the next
-    match. A null or empty text has an empty array.
+    match. A null or empty text has an empty array. ``sign`` is a cheap pattern that every text with a match has: other texts
+    are not searched.
     """
     marked, steps, sums = fresh(df, f"{out}_marked", f"{out}_steps", f"{out}_sums")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -30,7 +31,8 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     fast = F.split(F.regexp_replace(body, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
     pieces, found = F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     slow = F.flatten(F.transform(pieces, lambda x, i: F.when(i < F.size(found), F.array(x, F.get(found, i))).otherwise(F.array(x))))
-    df = df.withColumn(marked, F.when(F.contains(body, F.lit(_MARK)), slow).otherwise(fast))
+    has = F.contains(body, F.lit(sign)) if len(sign) == 1 else body.rlike(sign)
+    df = df.withColumn(marked, F.when(~has, F.array(body)).when(F.contains(body, F.lit(_MARK)), slow).otherwise(fast))
     df = df.withColumn(
         steps,
         F.expr(

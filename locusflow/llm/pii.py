@@ -1,22 +1,23 @@
 """Personal data: base patterns, and further spans by weak supervision, with DataFrame operations only.
 
-Candidates are all base spans and looser matches (telephone-like and identity-like numbers, spelled-out
-addresses, titled or known names). Six labelers vote on each: +1 personal, -1 not, 0 no opinion; two look at its
-form (regex), two at word lists (gazetteer), two at the words around it (context). The votes of the whole table
-are counted by pattern, expectation-maximisation estimates each labeler's reliability from those counts, and a
-naive Bayes span classifier is trained on the resulting posteriors from features that the labelers do not see
-alone. What reaches the driver is counts by vote pattern and feature, whose number does not depend on the table.
-The table is scanned twice and no text moves between tasks.
+Base spans are found by their patterns. Candidates for more are looser matches that touch no base span (telephone-like and
+identity-like numbers, spelled-out addresses, titled or known names). Six labelers vote on each: + personal, - not, 0 no
+opinion; two look at its form (regex), two at word lists (gazetteer), two at the words around it (context). The votes
+of the whole table are counted by pattern, expectation-maximisation estimates each labeler's reliability from those
+counts, and a naive Bayes span classifier is trained on the resulting posteriors, from features of form and surroundings but
+not from the votes. What reaches the driver is counts by vote pattern and feature, whose number does not depend on
+the table. The texts are searched once; the spans are kept in a small table, and no text moves between tasks.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import table
+from locusflow.llm._common import materialize, neutral, table
 from locusflow.llm._spans import digest, labelled, listing, with_matches
 
 # The base patterns. Equal to the contract's patterns, written without backtracking.
@@ -27,7 +28,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 # Looser candidates. A number that belongs to a base span or to a longer code is left out by overlap.
-NUMBER = r"(?<![0-9A-Za-z.+\x2D])[(]?[0-9]{2,}+[)]?(?:[\x20./-][(]?[0-9]{2,}+[)]?){0,5}+(?![0-9A-Za-z])"
+NUMBER = r"(?<![0-9A-Za-z.+\x2D])[(]?[0-9]{2,}+[)]?(?:[)]?[\x20./-][(]?[0-9]{2,}+[)]?)*+(?![0-9A-Za-z])"
 SPELLED = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?i:at)[\])]\x20?"
     r"[A-Za-z0-9-]{1,63}+(?:\x20?[\[(](?i:dot)[\])]\x20?[A-Za-z0-9-]{1,63}+)++"
@@ -51,6 +52,10 @@ COLD = (
 ).split()
 NAME = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?+\x20|(?:{'|'.join(GIVEN_NAMES)})\x20)\p{{Lu}}\p{{Ll}}++(?![\p{{L}}])"
 ADDED_KINDS = ("number", "spelled", "name")
+#: Cheap signs that any text with a match has.
+SIGNS = {"e": "@", "i": r"[0-9]\.[0-9]", "c": r"[0-9][\x20-]?[0-9]", "p": r"\+[0-9]", "n": "[0-9]{2}", "s": r"[\[(][Aa][Tt][\])]", "g": r"\p{Lu}\p{Ll}"}
+
+DATE = "^([0-9]{4}[./ -][0-9]{1,2}[./ -][0-9]{1,2}|[0-9]{1,2}[./ -][0-9]{1,2}[./ -][0-9]{2,4})$"
 
 #: Hash buckets of the neighbouring word among the classifier's features.
 WORD_BUCKETS = 64
@@ -79,30 +84,30 @@ PHONE_OK = f"char_length({_digits('x.m')}) between 10 and 15"
 IP_OK = "forall(split(x.m, '[.]'), p -> char_length(ltrim('0', p)) <= 3 and cast(concat('0', right(p, 3)) as int) <= 255)"
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, base, cand``; ``cand`` holds ``struct<start, rank, end, kind, m, before, after>``."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def _spans(docs: DataFrame, carried: list[str], text_col: str) -> DataFrame:
+    """The ``carried`` columns, ``base, cand``; ``cand`` holds ``struct<start, rank, end, kind, m, before, after>``.
+
+    ``docs`` has neutral column names.
+    """
+    df = docs.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = (("e", EMAIL), ("i", IP), ("c", CARD), ("p", PHONE), ("n", NUMBER), ("s", SPELLED), ("g", NAME))
     for name, pattern in found:
-        df = with_matches(df, "t", pattern, name)
+        df = with_matches(df, "t", pattern, name, SIGNS[name])
     keep = {"i": IP_OK, "c": CARD_OK, "p": PHONE_OK}
     base, cand = [], []
     for rank, (name, _) in enumerate(found):
-        kind = (BASE_KINDS + ADDED_KINDS)[rank]
         if rank < len(BASE_KINDS):
-            base.append(labelled(name, rank, kind, keep.get(name, "true")))
-        ok = keep.get(name, "true") if rank < len(BASE_KINDS) else "char_length(x.m) >= 8"
+            base.append(labelled(name, rank, BASE_KINDS[rank], keep.get(name, "true")))
+            continue
         cand.append(
             F.expr(
-                f"transform(filter({name}, x -> {ok}), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, "
-                f"'kind', '{kind}', 'm', x.m, 'before', right(x.before, 40), 'after', left(x.after, 16)))"
+                f"transform(filter({name}, x -> char_length(x.m) >= 8), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, "
+                f"'kind', '{ADDED_KINDS[rank - len(BASE_KINDS)]}', 'm', x.m, 'before', right(x.before, 40), 'after', left(x.after, 16)))"
             )
         )
-    df = df.select("doc_id", F.concat(*base).alias("base"), F.concat(*cand).alias("cand"))
-    apart = (
-        f"filter(cand, x -> x.rank < {len(BASE_KINDS)} or not exists(base, b -> b.start < x.end and x.start < b.end))"
-    )
-    return df.select("doc_id", "base", F.expr(apart).alias("cand"))
+    df = df.select(*carried, F.concat(*base).alias("base"), F.concat(*cand).alias("cand"))
+    apart = "filter(cand, x -> not exists(base, b -> b.start < x.end and x.start < b.end))"
+    return df.select(*carried, "base", F.expr(apart).alias("cand"))
 
 
 def _words(names: list[str]) -> str:
@@ -113,28 +118,28 @@ def _votes(x: str) -> str:
     """The labelers' votes on candidate ``x`` as a string of '+', '-' and '0'."""
     digits = f"char_length({_digits(x + '.m')})"
     has = lambda cond, yes, no="false": f"if({cond}, '+', if({no}, '-', '0'))"
-    name = _sql("|".join(GIVEN_NAMES))
+    name = _sql(r"(?<!\p{L})(?:" + "|".join(GIVEN_NAMES) + r")(?!\p{L})")
     votes = (
-        # regex: a strict form speaks for, a bare run of digits against
+        # regex: a strict form speaks for, a bare run of digits or a date against
         has(
-            f"{x}.rank < {len(BASE_KINDS)} or {x}.m rlike '^[(]?[0-9]{{3}}[)]?[ .-][0-9]{{2,3}}[ .-][0-9]{{4}}$' or {x}.kind = 'spelled'",
+            f"{x}.m rlike '^[(]?[0-9]{{2,5}}[)]?[ ./-][0-9]{{2,4}}[ ./-]?[0-9]{{2,5}}$' and not {x}.m rlike '{DATE}' or {x}.kind = 'spelled'",
             "",
-            f"{x}.kind = 'number' and ({x}.m rlike '^[0-9]+$' or {x}.m rlike '^[0-9]{{1,4}}[./-][0-9]{{1,2}}[./-][0-9]{{1,4}}$')",
+            f"{x}.kind = 'number' and ({x}.m rlike '^[0-9]+$' or {x}.m rlike '{DATE}')",
         ),
-        # regex: how many digits there are
-        has(f"{digits} between 9 and 16 and not {x}.m rlike '^[0-9]+$'", "", f"{x}.kind = 'number' and {digits} not between 9 and 16"),
+        # regex: how many digits there are; of 14 and more, those with a right check digit are base spans already
+        has(f"{digits} between 9 and 13 and not {x}.m rlike '^[0-9]+$'", "", f"{x}.kind = 'number' and {digits} not between 9 and 13"),
         # gazetteer: names, mail domains
-        has(f"{x}.m rlike {name} or {x}.m rlike '(?i)[.](com|org|net|edu|gov|de|fr|es|eu)$'", ""),
+        has(f"{x}.m rlike {name} or {x}.m rlike '(?i)(com|org|net|edu|gov|de|fr|es|eu)$' and {x}.kind = 'spelled'", ""),
         # gazetteer: titles speak for, dates and years against
         has(
             f"{x}.m rlike {_sql('^(' + '|'.join(TITLES) + ')[.]? ')}",
             "",
-            f"{x}.kind = 'number' and {x}.m rlike '^(19|20)[0-9]{{2}}|(19|20)[0-9]{{2}}$'",
+            f"{x}.kind = 'number' and {x}.m rlike '^(19|20)[0-9]{{2}}[./ -]|[./ -](19|20)[0-9]{{2}}$'",
         ),
         # context: words before
         has(f"{x}.before rlike {_sql(_words(WARM))}", "", f"{x}.before rlike {_sql(_words(COLD))}"),
         # context: what stands right at the candidate
-        has(f"{x}.before rlike '[:=#] ?$' and {x}.rank <> 6", "", f"{x}.after rlike '^ ?[%$€£*/=+|]'"),
+        has(f"{x}.before rlike '[:=] ?$' and {x}.kind <> 'name'", "", f"{x}.before rlike '[#$€£] ?$' or {x}.after rlike '^ ?[%$€£*/=+|]'"),
     )
     return f"concat({', '.join(votes)})"
 
@@ -147,8 +152,7 @@ def _features(x: str) -> str:
         f"concat('marks:', cast(least(char_length(regexp_replace({x}.m, '[0-9A-Za-z]', '')), 6) as string)), "
         f"concat('lead:', regexp_replace(regexp_replace(left({x}.m, 3), '[0-9]', '9'), '[A-Za-z]', 'a')), "
         f"concat('word:', cast(pmod(xxhash64(lower(regexp_extract({x}.before, '([\\\\p{{L}}]+)[^\\\\p{{L}}]*$', 1))), {WORD_BUCKETS}) as string)), "
-        f"concat('next:', if({x}.after rlike '^[.,;:!?]? ?\\\\p{{L}}', 'text', if({x}.after = '', 'end', 'mark'))), "
-        f"concat('votes:', {_votes(x)}))"
+        f"concat('next:', if({x}.after rlike '^[.,;:!?]? ?\\\\p{{L}}', 'text', if({x}.after = '', 'end', 'mark'))))"
     )
 
 
@@ -164,7 +168,8 @@ def fit_reliabilities(patterns: dict[str, float], rounds: int = 50) -> tuple[dic
     """Expectation-maximisation over counted vote patterns.
 
     Returns each pattern's posterior, the prior, and for each labeler ``{(class, vote): probability}``. Starts at the
-    majority of the votes; without candidates the prior is 1/2 and nothing is known.
+    majority of the votes; a labeler counts as right a few times before it has voted, so that the classes keep
+    their meaning; without candidates the prior is 1/2 and nothing is known.
     """
     post = {}
     for v in patterns:
@@ -178,7 +183,7 @@ def fit_reliabilities(patterns: dict[str, float], rounds: int = 50) -> tuple[dic
         for i in range(LABELERS):
             p = {}
             for y in (0, 1):
-                weight = {s: 1.0 for s in "+-0"}
+                weight = {"+": 1.0 + 2.0 * y, "-": 3.0 - 2.0 * y, "0": 1.0}
                 for v, n in patterns.items():
                     weight[v[i]] += n * (post[v] if y else 1 - post[v])
                 for s in "+-0":
@@ -208,6 +213,21 @@ def train_classifier(counts: list[tuple[str, str, int]]) -> tuple[float, dict[st
     return math.log(prior / (1 - prior)), weights
 
 
+def _train(spans: DataFrame) -> tuple[float, dict[str, float]]:
+    return train_classifier(vote_counts(spans))
+
+
+def _added(spans: DataFrame, model: tuple[float, dict[str, float]], threshold: float) -> DataFrame:
+    """``spans`` with ``added``, the candidates that the classifier finds personal, for ``cand``."""
+    bias, weights = model
+    logit = math.log(threshold / (1 - threshold))
+    held = F.from_json(F.lit(json.dumps({k: round(v, 6) for k, v in weights.items()})), "map<string,double>")
+    scored = spans.withColumn("w", held)
+    keep = f"filter(cand, x -> {bias} + aggregate({_features('x')}, 0D, (a, f) -> a + coalesce(try_element_at(w, f), 0D)) >= {logit})"
+    added = F.expr(f"transform({keep}, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end, 'kind', x.kind))")
+    return scored.withColumn("added", added).drop("w", "cand")
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, base, added``, arrays of ``struct<start, rank, end, kind>``.
 
@@ -215,23 +235,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     personal, none of which touches a base span. Null and empty texts have none; null ids and repeated rows
     are kept as they are; an empty table gives an empty result; other columns play no part.
     """
-    spans = _spans(docs, id_col, text_col)
-    bias, weights = train_classifier(vote_counts(spans))
-    logit = math.log(threshold / (1 - threshold))
-    held = F.from_json(F.lit(_json(weights)), "map<string,double>")
-    extra = F.filter("cand", lambda x: x["rank"] >= len(BASE_KINDS))
-    scored = spans.select("doc_id", "base", extra.alias("cand")).withColumn("w", held)
-    keep = (
-        f"filter(cand, x -> {bias} + aggregate({_features('x')}, 0D, (a, f) -> a + coalesce(try_element_at(w, f), 0D)) >= {logit})"
-    )
-    added = F.expr(f"transform({keep}, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end, 'kind', x.kind))")
-    return scored.select("doc_id", "base", added.alias("added"))
-
-
-def _json(weights: dict[str, float]) -> str:
-    import json
-
-    return json.dumps({k: round(v, 6) for k, v in weights.items()})
+    kept = neutral(docs.select(id_col, text_col))
+    id_, body = kept.columns
+    spans = materialize(_spans(kept, [id_], body), "spans")
+    return _added(spans, _train(spans), threshold).select(F.col(id_).alias("doc_id"), "base", "added")
 
 
 def op5_weak_supervision_pii(spark, sf_dir: str) -> DataFrame:
@@ -246,13 +253,20 @@ def op5_weak_supervision_pii(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def mask_pii(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets. ``found`` is ``find_pii`` of tables with unique ids."""
-    spans = found.select(F.col("doc_id").alias(id_col), F.array_sort(F.concat("base", "added")).alias("_spans"))
+def mask_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with every span of ``find_pii`` replaced by its kind in brackets. Columns as given, whatever their names.
+
+    Spans are found in the row that they are masked in, so ids play no part; of spans that overlap, the first gives the kind and
+    all characters go. Null texts stay null. The texts are searched twice: to learn, and to mask.
+    """
+    kept = neutral(docs)
+    body = kept.columns[docs.columns.index(text_col)]
+    model = _train(materialize(_spans(kept, [], body), "spans"))
+    found = _added(_spans(kept, kept.columns, body), model, threshold).withColumn("all_spans", F.array_sort(F.concat("base", "added")))
     step = (
-        f"aggregate(_spans, struct('' as done, 0 as at), (a, x) -> if(x.start < a.at, a, struct(concat(a.done, "
-        f"substring({text_col}, a.at + 1, x.start - a.at), '[', upper(x.kind), ']') as done, x.end as at)), "
-        f"a -> concat(a.done, substring({text_col}, a.at + 1)))"
+        f"aggregate(all_spans, struct('' as done, 0 as at), (a, x) -> if(x.start < a.at, struct(a.done as done, greatest(a.at, x.end) as at), "
+        f"struct(concat(a.done, substring({body}, a.at + 1, x.start - a.at), '[', upper(x.kind), ']') as done, x.end as at)), "
+        f"a -> concat(a.done, substring({body}, a.at + 1)))"
     )
-    masked = docs.join(spans, id_col, "left").withColumn(text_col, F.when(F.size("_spans") > 0, F.expr(step)).otherwise(F.col(text_col)))
-    return masked.select(docs.columns)
+    masked = found.withColumn(body, F.when(F.size("all_spans") > 0, F.expr(step)).otherwise(F.col(body)))
+    return masked.select(*kept.columns).toDF(*docs.columns)

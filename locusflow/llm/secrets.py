@@ -2,8 +2,10 @@
 
 Two first-order models, one of random strings and one of ordinary identifiers, are counted from labelled
 samples with DataFrame operations. A token's score is the mean log-likelihood ratio of its characters
-under the two; the threshold is where the labelled samples are parted best. Scanning is one projection:
-no rows move between tasks.
+under the two; the threshold is where a part of the samples that the models have not seen is parted best.
+The samples of random strings and of identifiers are made by a fixed rule; to the ordinary ones come the long
+words of all texts, which the rule ``WORD`` labels: letters alone, lower-case after the first. No token of random characters
+keeps to that for long. Scanning is one projection: no rows move between tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm._common import hash_sample, materialize, table
+from locusflow.llm._common import materialize, table
 from locusflow.llm._spans import digest, labelled, listing, with_matches
 
 # The base patterns. Equal to the contract's patterns, written without backtracking.
@@ -20,13 +22,16 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Texts of the corpus whose words are taken as samples of ordinary tokens.
-MAX_TEXTS = 2000
 #: What the Markov models judge: runs of at least this many characters of the alphabet.
 MIN_TOKEN = 16
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+#: Words of the corpus that count as ordinary: as long as a token, or a little less.
+WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z][a-z]{11,}+(?![A-Za-z0-9+/_-])"
 TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+"
 
+#: Cheap signs that any text with a match has.
+SIGNS = {"a": "[:=]", "k": "AKIA", "h": "[0-9a-f]{24}", "r": f"[A-Za-z0-9+/_-]{{{MIN_TOKEN}}}"}
+
 # Common parts of identifiers.
 IDENTIFIER_PARTS = (
     "account add address agent app array async audit auth base batch block body buffer build button cache call "
@@ -50,10 +55,10 @@ IDENTIFIER_PARTS = (
 
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """``token, is_random, held_out``: ``n`` random strings and ``n`` identifiers made by a fixed rule.
+    """``token, is_random, n, fold``: ``n`` random strings and ``n`` identifiers made by a fixed rule.
 
-    Random strings are cut from SHA-256 digests as base64, hexadecimal or upper-case text; identifiers join two to
-    five common parts in snake, kebab, camel or plain style, some with a number. Every fifth row is held out.
+    Random strings are cut from SHA-256 digests as base64, hexadecimal or upper-case text; identifiers join three to
+    five common parts in snake, kebab, camel, path or plain style, some with a number or a date. Folds are 0 to 4.
     """
     parts = F.array(*[F.lit(p) for p in IDENTIFIER_PARTS])
     ids = spark.range(n)
@@ -67,7 +72,7 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.sequence(F.lit(1), (F.lit(3) + F.pmod(F.col("id"), F.lit(3))).cast("int")),
         lambda i: F.get(parts, F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(IDENTIFIER_PARTS))).cast("int")),
     )
-    style = F.pmod(F.xxhash64("id"), F.lit(6))
+    style = F.pmod(F.xxhash64("id"), F.lit(8))
     plain = F.array_join("p", "")
     camel = F.array_join(F.transform("p", lambda x: F.initcap(x)), "")
     number = F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(1000)).cast("string")
@@ -78,20 +83,18 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         .when(style == 3, F.concat(F.array_join("p", "_"), F.lit("_"), number))
         .when(style == 4, F.upper(F.array_join("p", "_")))
         .when(style == 5, F.array_join("p", "/"))
+        .when(style == 6, F.concat(F.date_add(F.lit("2000-01-01"), F.pmod(F.xxhash64(F.lit("d"), "id"), F.lit(12_000)).cast("int")), F.lit("-"), F.array_join("p", "-")))
         .otherwise(plain)
     )
     ordinary = ids.withColumn("p", picks).select("id", name.alias("token"), F.lit(0).alias("is_random"))
-    return secret.union(ordinary).select("token", "is_random", (F.col("id") % 5 == 0).alias("held_out"))
-
+    return secret.union(ordinary).select("token", "is_random", F.lit(1).cast("long").alias("n"), (F.col("id") % 5).cast("int").alias("fold"))
 
-def corpus_words(docs: DataFrame, id_col: str, text_col: str, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """``token, is_random, held_out``: words of letters only, as ordinary as they come, from about ``max_texts`` texts.
 
-    The texts are chosen by the hash of their id.
-    """
-    some = hash_sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), F.col("i"), max_texts)
-    word = some.select(F.explode(F.split("t", r"[^A-Za-z]+")).alias("token")).filter(F.length("token").between(6, 40)).distinct()
-    return word.select("token", F.lit(0).alias("is_random"), (F.pmod(F.xxhash64("token"), F.lit(5)) == 0).alias("held_out"))
+def corpus_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """``token, is_random, n, fold``: the distinct long words of all texts, which count as ordinary and each once."""
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    some = docs.select(F.explode(F.regexp_extract_all(body, F.lit(WORD), F.lit(0))).alias("token")).distinct()
+    return some.select("token", F.lit(0).alias("is_random"), F.lit(1).cast("long").alias("n"), F.pmod(F.xxhash64("token"), F.lit(5)).cast("int").alias("fold"))
 
 
 def _codes(token: Column) -> Column:
@@ -104,8 +107,8 @@ def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     size = len(ALPHABET) + 1
     c = samples.filter(F.col("token").isNotNull()).withColumn("c", _codes(F.col("token")))
     pair = F.expr("zip_with(slice(c, 1, greatest(size(c) - 1, 0)), slice(c, 2, greatest(size(c) - 1, 0)), (a, b) -> struct(a, b))")
-    rows = c.select("is_random", F.explode(pair).alias("x")).groupBy("is_random", "x.a", "x.b").count().collect()
-    counts = {(int(r["is_random"]), r["a"], r["b"]): r["count"] for r in rows}  # at most 2 * size * size
+    rows = c.select("is_random", "n", F.explode(pair).alias("x")).groupBy("is_random", "x.a", "x.b").agg(F.sum("n").alias("n")).collect()
+    counts = {(int(r["is_random"]), r["a"], r["b"]): r["n"] for r in rows}  # at most 2 * size * size
     return _ratios(counts, size, smoothing)
 
 
@@ -140,14 +143,16 @@ def markov_score(token: Column, ratios: list[float]) -> Column:
 
 
 def fit_threshold(samples: DataFrame, ratios: list[float]) -> float:
-    """The score that parts the samples best, with a wrong alarm counted ten times."""
+    """The score that parts the samples best, with a wrong alarm counted ten times and both kinds weighed alike; the middle of the gap."""
     long = samples.filter(F.length("token") >= MIN_TOKEN)
     scored = long.select("is_random", F.round(markov_score(F.col("token"), ratios), 2).alias("s"))
     rows = scored.groupBy("s").agg(F.sum("is_random").alias("r"), F.sum(1 - F.col("is_random")).alias("o")).orderBy("s").collect()
-    missed, wrong, best = 0, sum(r["o"] for r in rows), (float("inf"), 0.0)
-    for r in rows:  # one row per hundredth of score
+    random, ordinary = (max(1, sum(r[k] for r in rows)) for k in ("r", "o"))
+    missed, wrong, best = 0, ordinary, (float("inf"), 0.0)
+    for i, r in enumerate(rows):  # one row per hundredth of score
         missed, wrong = missed + r["r"], wrong - r["o"]
-        best = min(best, (missed + 10 * wrong, r["s"]))
+        above = rows[min(i + 1, len(rows) - 1)]["s"]
+        best = min(best, (missed / random + 10 * wrong / ordinary, (r["s"] + above) / 2))
     return best[1]
 
 
@@ -156,16 +161,17 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str
 
     ``base`` holds the spans of the three patterns, ``added`` the tokens that the Markov models call random and
     that touch no base span. Null and empty texts have none; null ids and repeated rows are kept as they
-    are; an empty table gives an empty result; other columns play no part.
+    are; an empty table gives an empty result; other columns play no part. ``samples`` (``token, is_random, n, fold``) replace those
+    made here; fold 0 is not used, fold 1 sets the threshold, the others train the models.
     """
     if samples is None:
-        samples = labelled_samples(docs.sparkSession).union(corpus_words(docs, id_col, text_col))
-    train = materialize(samples.filter(~F.col("held_out")), "samples")
-    ratios = train_markov(train)
-    threshold = fit_threshold(train, ratios)
+        samples = labelled_samples(docs.sparkSession).union(corpus_words(docs, text_col))
+    samples = materialize(samples, "samples")
+    ratios = train_markov(samples.filter("fold > 1"))
+    threshold = fit_threshold(samples.filter("fold = 1"), ratios)
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     for name, pattern in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("r", TOKEN)):
-        df = with_matches(df, "t", pattern, name)
+        df = with_matches(df, "t", pattern, name, SIGNS[name])
     value = f"char_length(regexp_extract(x.m, {_sql(ASSIGN)}, 2)) >= 6"
     base = F.concat(labelled("a", 0, "assign", value), labelled("k", 1, "access"), labelled("h", 2, "hex"))
     df = df.select("doc_id", base.alias("base"), "r").withColumn(

@@ -70,8 +70,54 @@ def test_vote_reliabilities():
 
 
 def test_mask(docs):
-    one = docs.filter("doc_id = 5")
-    assert pii.mask_pii(one, pii.find_pii(one)).first().text.startswith("Ünï ñ 𝒳 mail [EMAIL]")
+    got = pii.mask_pii(docs)
+    assert got.columns == docs.columns and got.count() == docs.count()
+    by = {r.doc_id: r.text for r in got.collect()}
+    assert by[5].startswith("Ünï ñ 𝒳 mail [EMAIL]") and by[1] is None and by[0] == ""
+
+
+def test_mask_leaves_nothing(spark):
+    """Whatever the ids, and where spans overlap."""
+    rows = [(None, "mail a@b.com now", 1), (1, "x a@b.com", 1), (1, "longer text with c@d.org in it", 1), (2, "+4111 1111 1111 1111", 1), (3, "1.2.3.4111111111111111 end", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans int")
+    got = pii.mask_pii(df)
+    assert got.columns == df.columns
+    texts = sorted(r.text for r in got.collect())
+    assert texts[2:] == ["longer text with [EMAIL] in it", "mail [EMAIL] now", "x [EMAIL]"] and all("1111" not in t for t in texts)
+
+
+def test_added_spans_on_planted_truth(spark):
+    """Personal and other numbers, spelled addresses and names, in the four languages: what is added is right and nearly all."""
+    rng = np.random.default_rng(5)
+    d = lambda n: "".join(rng.choice(list("0123456789"), n))
+    yes = [
+        lambda: ("please call ", f"({d(3)}) {d(3)}-{d(4)}", " tomorrow"), lambda: ("Telefon: ", f"030 {d(4)} {d(4)}", " oder"),
+        lambda: ("my phone is ", f"{d(3)}-{d(3)}-{d(4)}", ", thanks"), lambda: ("social number ", f"{d(3)}-{d(2)}-{d(4)}", " of the"),
+        lambda: ("contact me: ", f"anna{d(2)} [at] mail{d(1)} [dot] org", " or"), lambda: ("correo ", f"luis.{d(3)}(at)casa(dot)es", " para"),
+        lambda: ("with ", f"Frau {rng.choice(['Schmidt', 'Weber', 'Keller'])}", " in the"), lambda: ("name: ", f"Maria {rng.choice(['Lopez', 'Garcia', 'Moreno'])}", " lives"),
+    ]
+    no = [
+        lambda: ("on ", f"20{d(2)}-0{rng.integers(1, 9)}-1{d(1)}", " we met"), lambda: ("invoice ", d(8), " was sent"),
+        lambda: ("the ", d(16), " of it"), lambda: ("version ", f"10.{d(2)}.{d(4)}", " fixes"),
+        lambda: ("page ", f"{d(3)} {d(5)}", " of the"), lambda: ("table with ", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", " and"),
+    ]
+    rows, truth, others = [], set(), set()
+    for i in range(1200):
+        a, m, b = (kind := (yes, no)[i % 2])[rng.integers(len(kind))]()
+        rows.append((i, f"some words {a}{m}{b} more words"))
+        (truth if kind is yes else others).add((i, 11 + len(a), 11 + len(a) + len(m)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, x.start, x.end) for r in pii.find_pii(df).collect() for x in r.added}
+    base = {r.doc_id for r in pii.find_pii(df).collect() if r.base}
+    truth = {t for t in truth if t[0] not in base}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 0.05 * len(got)
+
+
+def test_numbers_that_fail_their_check_are_not_added(spark):
+    """A corpus whose only candidates are bare runs of digits, beside cards that pass."""
+    rows = [(i, f"some words {4111111111111111 if i % 3 else 4111111111111112} and more") for i in range(60)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(len(r.base) for r in got) == 40 and not any(r.added for r in got)
 
 
 def test_secret_edges(spark, docs):
@@ -83,9 +129,9 @@ def test_secret_edges(spark, docs):
 
 def test_markov_models_on_held_out_samples(spark):
     s = secrets.labelled_samples(spark)
-    train, rest = s.filter("not held_out"), s.filter("held_out and length(token) >= 16")
-    ratios = secrets.train_markov(train)
-    t = secrets.fit_threshold(train, ratios)
+    rest = s.filter("fold = 0 and length(token) >= 16")
+    ratios = secrets.train_markov(s.filter("fold > 1"))
+    t = secrets.fit_threshold(s.filter("fold = 1"), ratios)
     rows = rest.select("is_random", (secrets.markov_score(F.col("token"), ratios) > t).cast("int").alias("found")).groupBy("is_random").agg(F.avg("found").alias("a")).collect()
     rate = {r.is_random: r.a for r in rows}
     assert rate[1] > 0.8 and rate[0] < 0.01
@@ -93,6 +139,25 @@ def test_markov_models_on_held_out_samples(spark):
     assert [(x.start, x.end) for x in secrets.find_secrets(text).first().added] == [(3, 27)]
 
 
+def test_added_secrets_on_planted_truth(spark):
+    """Random tokens of several alphabets among the words, identifiers and paths of a corpus that the models read."""
+    rng = np.random.default_rng(7)
+    chars = {"b64": secrets.ALPHABET[:64], "upper": secrets.ALPHABET[26:62], "mixed": secrets.ALPHABET[:62]}
+    parts = "user account settings page token stream buffer index parser network session handler".split()
+    long = "Rechtsschutzversicherungsgesellschaften internationalization responsabilidades Donaudampfschifffahrt incomprehensiblement".split()
+    rows, truth = [], set()
+    for i in range(600):
+        plain = [str(rng.choice(long)), "_".join(rng.choice(parts, 4)), "".join(w.title() for w in rng.choice(parts, 4)), "/".join(rng.choice(parts, 4)), "2024-01-15-backup-final"]
+        text = f"some words {rng.choice(plain)} and {rng.choice(plain)} then "
+        if i % 2:
+            token = "".join(rng.choice(list(chars[str(rng.choice(list(chars)))]), int(rng.integers(20, 44))))
+            truth.add((i, len(text), len(text) + len(token)))
+            text += token
+        rows.append((i, text + " end"))
+    got = {(r.doc_id, x.start, x.end) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r.added}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 0.02 * len(got)
+
+
 def test_simhash_edges(spark, docs):
     got = simhash.simhash_groups(docs, shingle=4, wide=False, radius=4, extra=("p", "fp")).collect()
     assert len(got) == docs.count()
