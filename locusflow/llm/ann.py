@@ -2,12 +2,13 @@
 
 Vectors are normalised, so that the largest cosine is the smallest distance, and rotated at random, so that any first
 columns estimate the whole distance. Lists come from spherical k-means fitted to a bounded sample; every vector is put
-into its nearest centroid's list. A query probes the nearest lists; in each it scans the columns in blocks and drops a
-candidate as soon as a hypothesis test on the partial distance says that the candidate is farther than the k-th best
-found. What survives is scored by the exact cosine of the original vectors in double precision.
+into its nearest centroid's list. A query probes the nearest lists, and further ones until they hold candidates enough; in
+each it scans the columns in blocks and drops a candidate as soon as a hypothesis test on the partial distance says that
+the candidate is farther than the k-th best found. What survives is scored by the exact cosine of the original vectors in
+double precision.
 
-Lists are cut into segments of bounded size, and queries into blocks, so that neither a list that holds a third of
-the vectors nor many queries of one list meet in one task.
+Lists are cut into segments of bounded size, and each list's queries into blocks, so that neither a list that holds a third
+of the vectors nor many queries of one list meet in one task. A list is copied once for each block of its queries.
 """
 
 from __future__ import annotations
@@ -33,15 +34,18 @@ CALIBRATED = 0.97
 #: The test's significance: larger drops fewer true neighbours.
 EPSILON = 2.1
 HEAD = 64
+#: Least rows in the lists that a query probes: one that lies apart, or alone in its list, looks further.
+CANDIDATES = 1000
 #: Distances of equal rows differ by rounding: limits on them are loosened by this share and this much.
 LOOSE = (1 + 1e-9, 1e-12)
 
 
-def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def valid_vectors(df: DataFrame, id_col: str, vector_col: str, length: int | None = None) -> DataFrame:
     """``vec_id, v`` (doubles) of the rows that take part.
 
-    Left out are null ids, vectors that are null, empty or zero or hold null or non-finite components, and vectors
-    whose length is not the most frequent one (the larger of equally frequent).
+    Left out are null ids, vectors that are null, empty or zero or hold null or non-finite components, and, since cosines
+    are between vectors of one length, those that have not ``length`` components, or without it the most frequent number of
+    components (the larger of equally frequent).
     """
     v = F.col("v")
     some = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
@@ -50,8 +54,10 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    sizes = some.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return some.filter(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    if length is None:
+        sizes = some.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+        length = sizes[0]["d"] if sizes else 0
+    return some.filter(F.size("v") == length)
 
 
 def _matrix(column) -> np.ndarray:
@@ -152,80 +158,69 @@ def search(
 
     ``lists`` defaults to half the square root of the number of vectors, 16 at least; ``probes`` to what holds ``CALIBRATED`` of the
     neighbours in the sample that the centroids are fitted to. Ties go to the smaller ``vec_id``. Rows that ``valid_vectors``
-    leaves out take no part on either side; a query's own id is no candidate, of an id that occurs twice one row of the best
+    leaves out take no part on either side, where the table and not the queries says which length counts; a query's own id is no candidate, of an id that occurs twice one row of the best
     score is returned; an empty table gives an empty result. Other columns play no part.
     """
     spark = vectors.sparkSession
     base = materialize(valid_vectors(vectors, id_col, vector_col), "vectors")
-    asked = valid_vectors(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     n = base.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
     lists = max(1, min(MAX_LISTS, n, lists or max(16, math.ceil(math.sqrt(n) / 2))))
-    sample = hash_sample(base, F.col("vec_id"), MAX_SAMPLE).select("v").toPandas()["v"]
-    sample = _matrix(sample)
+    sample = _matrix(hash_sample(base, F.col("vec_id"), MAX_SAMPLE).select("v").toPandas()["v"])
+    if not len(sample):  # ids that all hash alike
+        sample = _matrix(base.select("v").limit(1).toPandas()["v"])
+    asked = valid_vectors(queries, id_col, vector_col, sample.shape[1]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     centroids = fit_centroids(sample, min(lists, len(sample)))
     probes = min(probes or needed_probes(sample, centroids, k), len(centroids))
-    turn = rotation(centroids.shape[1])
-    held = spark.sparkContext.broadcast((centroids, turn))  # at most MAX_LISTS centroids
+    held = spark.sparkContext.broadcast((centroids, rotation(centroids.shape[1])))  # at most MAX_LISTS centroids
 
     def assign(batches):
-        c, r = held.value
+        c, _ = held.value
         for pdf in batches:
             if len(pdf):
                 x = _unit(_matrix(pdf["v"]))
                 near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": near.astype(np.int32), "v": pdf["v"], "u": list(x @ r)})
-
-    indexed = materialize(base.mapInPandas(assign, "vec_id long, list int, v array<double>, u array<double>"), "index")
-    sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # one row per list
-    parts = np.ones(len(centroids), dtype=np.int64)
-    for i, m in sizes.items():
-        parts[i] = math.ceil(m / SEGMENT)
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    cuts = spark.sparkContext.broadcast(parts)
+                yield pdf.assign(list=near.astype(np.int32))
 
-    def place(batches):
-        for pdf in batches:
-            of = cuts.value[pdf["list"].to_numpy()]
-            seg = (pdf["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % of
-            yield pdf.assign(seg=seg.astype(np.int32))
+    indexed = materialize(base.mapInPandas(assign, "vec_id long, v array<double>, list int"), "index")
+    sizes = np.zeros(len(centroids), dtype=np.int64)
+    for r in indexed.groupBy("list").count().collect():  # one row per list
+        sizes[r["list"]] = r["count"]
+    known = spark.sparkContext.broadcast(sizes)
 
     def probe(batches):
         c, _ = held.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _unit(_matrix(pdf["q"]))
+            x = _unit(_matrix(pdf["q"])) if len(pdf) else np.zeros((0, 1))
             for i in range(0, len(x), 512):
-                s = x[i : i + 512] @ c.T
-                near = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-                seg = [(j, int(t), g) for j, row in enumerate(near) for t in row for g in range(cuts.value[t])]
-                at = np.array([j for j, _, _ in seg]) + i
-                ids = pdf["query_id"].to_numpy()[at]
-                yield pd.DataFrame(
-                    {
-                        "query_id": ids,
-                        "list": np.array([t for _, t, _ in seg], dtype=np.int32),
-                        "seg": np.array([g for _, _, g in seg], dtype=np.int32),
-                        "block": (ids % blocks if blocks > 1 else np.zeros(len(ids))).astype(np.int32),
-                        "q": [pdf["q"].iloc[j] for j in at],
-                    }
-                )
-
-    rows = indexed.mapInPandas(place, "vec_id long, list int, v array<double>, u array<double>, seg int")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    probed = asked.mapInPandas(probe, "query_id long, list int, seg int, block int, q array<double>")
+                order = np.argsort(-(x[i : i + 512] @ c.T), axis=1)
+                before = np.cumsum(known.value[order], axis=1) - known.value[order]
+                take = (np.arange(len(c)) < probes) | (before < CANDIDATES)
+                at, place = np.nonzero(take & (known.value[order] > 0))
+                some = pdf.iloc[i + at]
+                yield pd.DataFrame({"query_id": some["query_id"].to_numpy(), "list": order[at, place].astype(np.int32), "q": some["q"].to_numpy()})
+
+    probed = materialize(asked.mapInPandas(probe, "query_id long, list int, q array<double>"), "probed")
+    wanted = np.zeros(len(centroids), dtype=np.int64)
+    for r in probed.groupBy("list").count().collect():  # one row per list
+        wanted[r["list"]] = r["count"]
+    cuts = [(t, max(1, math.ceil(s / SEGMENT)), math.ceil(w / QUERY_BLOCK)) for t, (s, w) in enumerate(zip(sizes.tolist(), wanted.tolist(), strict=True)) if w]
+    cut = F.broadcast(spark.createDataFrame(cuts, "list int, segs int, blocks int"))  # one row per list
+    rows = indexed.join(cut, "list").withColumn("seg", F.pmod(F.xxhash64("vec_id"), "segs").cast("int"))
+    rows = rows.select("vec_id", "list", "seg", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    probed = probed.join(cut, "list").withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), "blocks").cast("int"))
+    probed = probed.select("query_id", "list", "q", "block", F.explode(F.sequence(F.lit(0), F.col("segs") - 1)).alias("seg"))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            u, v, ids = np.array(list(left["u"])), _matrix(left["v"]), left["vec_id"].to_numpy()
+            v, ids, turn = _matrix(left["v"]), left["vec_id"].to_numpy(), held.value[1]
+            u = _unit(v) @ turn
             size = np.sqrt((v * v).sum(axis=1))
             asked_ = _matrix(right["q"])
-            turned = _unit(asked_) @ held.value[1]
-            for qid, q, w in zip(right["query_id"], asked_, turned, strict=True):
+            for qid, q, w in zip(right["query_id"], asked_, _unit(asked_) @ turn, strict=True):
                 mine = ids != qid
                 pos = adaptive_scan(w, u, k) if mine.all() else np.nonzero(mine)[0][adaptive_scan(w, u[mine], k)]
                 # a sum row by row: a matrix product may give equal rows different doubles

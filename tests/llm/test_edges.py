@@ -475,6 +475,53 @@ def test_ann_edges(spark):
     assert ann.search(empty(df), empty(df)).count() == 0
 
 
+def exact_neighbours(v, ids, k):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for i in ids:
+        s = np.round(u @ u[i], 12)
+        s[i] = -2
+        out[i] = np.lexsort((np.arange(len(v)), -s))[:k].tolist()
+    return out
+
+
+def test_queries_of_another_length_take_no_part(spark):
+    """The table says which length counts, also where most queries have another."""
+    rows = [(i, [float(i), 1.0, 0.0]) for i in range(1, 30)] + [(50 * i, [1.0, 2.0]) for i in range(1, 5)] + [(250, [3.0, 1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id % 50 = 0"), 5).collect()
+    assert {r.query_id for r in got} == {250} and len(got) == 5 and all(r.vec_id < 30 for r in got)
+
+
+def test_recall_and_whole_answers_on_uneven_vectors(spark):
+    """Clusters, a third of all rows in one group of copies, and outliers; every query gets all the rows it asked for."""
+    rng = np.random.default_rng(21)
+    v = np.concatenate(
+        [
+            (rng.standard_normal((60, 1, 32)) + 0.2 * rng.standard_normal((60, 45, 32))).reshape(-1, 32),
+            np.tile(rng.standard_normal(32), (1500, 1)),
+            3 * rng.standard_normal((300, 32)),
+        ]
+    )
+    v = v[rng.permutation(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(ann.search(df, df.filter("vec_id % 10 = 0"), 5).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    want = exact_neighbours(v, range(0, len(v), 10), 5)
+    hits = [len(set(got[q]) & set(ids)) for q, ids in want.items()]
+    assert all(len(got[q]) == 5 for q in want) and np.mean(hits) >= 0.95 * 5 and np.mean([h < 3 for h in hits]) < 0.02
+
+
+def test_recall_on_vectors_without_structure(spark):
+    rng = np.random.default_rng(22)
+    v = rng.standard_normal((4000, 48))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = exact_neighbours(v, range(0, 4000, 50), 5)
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, df.filter("vec_id % 50 = 0"), 5).collect()}
+    assert sum((q, i) in got for q, ids in want.items() for i in ids) >= 0.9 * 5 * len(want)
+
+
 def test_adaptive_scan_keeps_the_nearest():
     rng = np.random.default_rng(9)
     rows = rng.standard_normal((3000, 64))
