@@ -31,8 +31,8 @@ TILE = 8192
 ROWS = 256
 SEED = 42
 #: Most shingles and most texts of a block whose shingle sets are compared in one task.
-SHINGLES = 1 << 21
-BLOCK = 4096
+SHINGLES = 1 << 20
+BLOCK = 1024
 #: Tile pairs of a task, and most tasks that they are dealt to.
 PAIRS = 4
 MOST_TASKS = 20_000
