@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-format", choices=("tsv", "jsonl"), default="tsv")
     p.add_argument("--output-file")
     p.add_argument("--plot", action="store_true")
+    p.add_argument("--plot-format", choices=("json", "svg"), default="json")
     p.add_argument("-p", "--population")
     p.add_argument("--max-diff", type=float)
     p.add_argument("--geo")
@@ -40,12 +41,16 @@ def figures(view, args, index: int, count: int, region: str) -> dict[str, str]:
     from locusflow.sources import sinks
 
     out = {}
-    path = lambda part="": sinks.figure_path(args.output_file, region, index, count, part=part)
+
+    def write(kind: str, frames: dict, part: str = "") -> str:
+        target = sinks.figure_path(args.output_file, region, index, count, args.plot_format, part)
+        return str((sinks.write_svg(kind, frames, target) if args.plot_format == "svg" else sinks.write_geometry(frames, target)).resolve())
+
     if args.plot:
         frames = {"cells": view.display_cells().drop("sel_ord").orderBy("row_ord", "col_ord")}
         if view.genes is not None:
             frames["annotation"] = view.annotation.drop("sel_ord")
-        out["plot_file"] = str(sinks.write_geometry(frames, path()).resolve())
+        out["plot_file"] = write("table", frames)
     if view.geo is not None:
         places = view.place_counts()
         if not places.isEmpty():
@@ -54,7 +59,7 @@ def figures(view, args, index: int, count: int, region: str) -> dict[str, str]:
                 "symbols": population.symbol_radii(places),
                 "extent": population.extents(places),
             }
-            out["geo_file"] = str(sinks.write_geometry(frames, path("_map")).resolve())
+            out["geo_file"] = write("map", frames, "_map")
     if args.network:
         haps = view.network_input()
         if not haps.isEmpty():
@@ -66,7 +71,7 @@ def figures(view, args, index: int, count: int, region: str) -> dict[str, str]:
             frames = {"nodes": nodes, "positions": placed, "edges": segments, "ticks": geometry.edge_ticks(segments), "sizes": geometry.size_legend(nodes)}
             if view.populations is not None:
                 frames["slices"] = population.network_populations(view.labelled, view.populations)
-            out["network_file"] = str(sinks.write_geometry(frames, path("_network")).resolve())
+            out["network_file"] = write("network", frames, "_network")
     return out
 
 

@@ -31,6 +31,28 @@ def select_variants(variants: DataFrame, selectors: DataFrame, overlap: str = "r
     return joined.select("sel_ord", *variants.columns)
 
 
+def prune(variants: DataFrame, selectors: DataFrame, overlap: str = "record", most: int = 1000) -> DataFrame:
+    """``variants`` within the outer bounds of the selectors on each chromosome, as a filter of plain numbers.
+
+    The scan can skip by it, and text records are dropped before their genotypes are decoded. The bounds are one row
+    a chromosome; with more than ``most`` chromosomes only the join selects. ``last`` is used where ``variants`` has it.
+    """
+    real = selectors.filter(F.col("start") <= F.col("end"))
+    rows = real.groupBy("chrom").agg(F.min("start").alias("low"), F.max("end").alias("high")).limit(most + 1).collect()
+    if len(rows) > most:
+        return variants
+    if overlap == "pos":
+        ends_after = lambda low: F.col("pos") >= low
+    elif "last" in variants.columns:
+        ends_after = lambda low: F.col("last") >= low
+    else:
+        ends_after = lambda low: F.col("pos") + F.greatest(F.char_length("ref"), F.lit(1)) - 1 >= low
+    within = F.lit(False)
+    for r in sorted(rows):
+        within = within | ((F.col("chrom") == r["chrom"]) & (F.col("pos") <= r["high"]) & ends_after(r["low"]))
+    return variants.filter(within)
+
+
 def subset_samples(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """Calls of the listed samples, numbered in list order; ``samples(sample, sample_ord)``."""
     return calls.drop("sample_ord").join(samples.select("sample", "sample_ord"), "sample").select(calls.columns)

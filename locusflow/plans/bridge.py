@@ -13,7 +13,6 @@ from locusflow.operators import calls as calls_
 from locusflow.plans.view import HapView
 
 SITES = 64
-GENES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +77,8 @@ def view_of(spark: SparkSession, sf_dir: str, selectors: DataFrame, last: int =
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``file_ord, seqid, type, start, end, strand, id`` of the first parts."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") < GENES)
+    """``file_ord, seqid, type, start, end, strand, id`` of the parts."""
+    p = table(spark, sf_dir, "part")
     start = F.col("p_partkey") * 10
     kind = F.expr("element_at(array('gene', 'exon', 'CDS', 'five_prime_UTR', 'three_prime_UTR', 'gene', 'exon'), cast(p_partkey % 7 + 1 as int))")
     return p.select(
@@ -121,10 +120,10 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as samples, part classes as sites; the first row of a cell by order decides its call."""
+    """Suppliers as samples, three classes of parts as sites; the first row of a cell by order decides its call."""
     li = table(spark, sf_dir, "lineitem")
     first = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
-    cell = li.groupBy("l_suppkey", (F.col("l_partkey") % 50).alias("pos")).agg(
+    cell = li.groupBy("l_suppkey", (F.col("l_partkey") % 3).alias("pos")).agg(
         F.min(F.struct(first.alias("k"), F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"))).alias("x")
     )
     a1 = F.expr("case x.f when 'A' then 0 when 'N' then 1 else 2 end")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from locusflow.functions.palette import CATEGORY_COLORS, PALETTE
+# The colours that the queries are to give.
+PALETTE = [
+    "#66c2a5", "#fc8d62", "#8da0cb", "#e78ac3", "#a6d854", "#ffd92f", "#e5c494", "#b3b3b3",
+    "#1b9e77", "#d95f02", "#7570b3", "#e7298a", "#66a61e", "#e6ab02", "#a6761d", "#666666",
+]
+CATEGORY_COLORS = {"CDS": "#3775BA", "5'UTR": "#7BAFD4", "3'UTR": "#7BAFD4", "exon": "#B4C0E4", "intron": "#D8D8D8", "intergenic": "#F2F2F2"}
 
 _CALLS = """calls AS (
   SELECT vec_id AS sample_ord, 'C' || vec_id AS sample, pos,
@@ -43,7 +48,7 @@ _GENES = """features AS (
   SELECT p_partkey AS file_ord, 'chr1' AS seqid,
     ['gene', 'exon', 'CDS', 'five_prime_UTR', 'three_prime_UTR', 'gene', 'exon'][(p_partkey % 7 + 1)::INT] AS type,
     p_partkey * 10 AS start, p_partkey * 10 + p_size AS "end", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 'g' || p_partkey AS id
-  FROM part WHERE p_partkey < 200)"""
+  FROM part)"""
 _POP = "pops AS (SELECT 'C' || c_custkey AS sample, c_mktsegment AS population FROM customer WHERE c_custkey % 7 <> 0)"
 _GEO = """geo AS (SELECT 'C' || c_custkey AS sample, round(c_nationkey * 3 + 100.25, 2)::DOUBLE AS lon, round(c_nationkey % 5 * 2 + 20.5, 2)::DOUBLE AS lat FROM customer),
 located AS (SELECT lon, lat, label, count(*)::INT AS n FROM profiles JOIN labels USING (hap) JOIN geo USING (sample) GROUP BY ALL),
@@ -191,7 +196,7 @@ def _medians() -> str:
         _cells(1),
         _BASES,
         f"""t AS (SELECT a.id AS i, b.id AS j, c.id AS l, a.sequence AS a, b.sequence AS b, c.sequence AS c, {", ".join(pick(k) for k in range(1, 5))}
-  FROM bases a JOIN bases b ON a.id < b.id JOIN bases c ON b.id < c.id WHERE c.id < 8)""",
+  FROM bases a JOIN bases b ON a.id < b.id JOIN bases c ON b.id < c.id)""",
         "u1 AS (SELECT *, unnest(c1) AS m1 FROM t)",
         "u2 AS (SELECT *, unnest(c2) AS m2 FROM u1)",
         "u3 AS (SELECT *, unnest(c3) AS m3 FROM u2)",
@@ -222,7 +227,7 @@ def oracle() -> dict[str, str]:
         "genotype_impute": _with(_CALLS, select=f"SELECT sample_ord, pos, {_state(True)} AS state FROM calls"),
         "site_alleles": _with(_VARIANTS, select="SELECT 'chr1' AS chrom, pos, allele FROM variants"),
         "state_labels": _with(
-            _CALLS, _VARIANTS, f"s AS (SELECT *, {_state(True)} AS state FROM calls WHERE pos <= 8)",
+            _CALLS, _VARIANTS, f"s AS (SELECT *, {_state(True)} AS state FROM calls)",
             select=f"SELECT sample_ord, pos, {_label('state')} AS label FROM s JOIN variants USING (pos) WHERE state IS NOT NULL",
         ),
         "hap_profiles_strict": _hap(1, 5, "SELECT * FROM profiles"),
@@ -246,11 +251,17 @@ def oracle() -> dict[str, str]:
             select="""SELECT sel_ord, 3::INT AS variant_count, (SELECT count(*) FROM embeddings)::INT AS sample_count, coalesce(h, 0)::INT AS haplotype_count
 FROM sel LEFT JOIN (SELECT sel_ord, count(*) AS h FROM bs GROUP BY sel_ord) USING (sel_ord)""",
         ),
+        "record_overlap": _with(
+            _VARIANTS,
+            select="""SELECT n_nationkey::INT AS sel_ord, pos, ref FROM nation JOIN variants ON pos <= n_nationkey * 2 + 3 AND pos + len(ref) - 1 >= n_nationkey * 2 + 1""",
+        ),
+        "population_lines": """SELECT 'C' || c_custkey % 500 AS sample, max_by(c_mktsegment, c_custkey) AS population FROM customer
+WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 GROUP BY ALL""",
         "debug_fetch": "SELECT 64::BIGINT AS variant_count, count(*) AS sample_count FROM embeddings",
         "vcf_decode": _with(
             _CALLS, _VARIANTS,
             select="""SELECT 'chr1' AS chrom, pos, ref, alt1 || ',' || alt2 AS alt, (row_number() OVER (PARTITION BY pos ORDER BY sample_ord) - 1)::INT AS col_ord, a1, a2,
-  CASE WHEN a1 IS NOT NULL THEN pos % 2 = 1 END AS phased FROM calls JOIN variants USING (pos) WHERE pos <= 8 AND sample_ord < 100""",
+  CASE WHEN a1 IS NOT NULL THEN pos % 2 = 1 END AS phased FROM calls JOIN variants USING (pos)""",
         ),
         "bed_parse": """SELECT (n_nationkey + 1)::INT AS sel_ord, 'bed-record' AS type, CASE WHEN n_nationkey % 3 = 0 THEN 'row' || (n_nationkey + 1) ELSE n_name END AS record_id,
   'chr1' AS chrom, n_nationkey::INT AS start, (n_nationkey + 4)::INT AS "end" FROM nation WHERE n_nationkey % 5 <> 4""",
@@ -318,9 +329,9 @@ FROM summary a JOIN summary b ON a.rank < b.rank""",
             _PAIRS, _MSN, recursive=True,
         ),
         "bfs_hops": _hap(
-            1, 3, "SELECT 0::INT AS source, id AS target, hops, length FROM walk",
+            1, 3, "SELECT source, id AS target, hops, length FROM walk",
             _PAIRS, _MSN, "both_ways AS (SELECT source AS a, target AS b, weight AS w FROM msn UNION ALL SELECT target, source, weight FROM msn)",
-            "walk(id, hops, length, seen) AS (SELECT 0::INT, 0::INT, 0::INT, [0::INT] UNION ALL SELECT b, hops + 1, length + w, list_append(seen, b) FROM walk JOIN both_ways ON a = id WHERE NOT list_contains(seen, b))",
+            "walk(source, id, hops, length, seen) AS (SELECT id, id, 0::INT, 0::INT, [id] FROM haps UNION ALL SELECT source, b, hops + 1, length + w, list_append(seen, b) FROM walk JOIN both_ways ON a = id WHERE NOT list_contains(seen, b))",
             recursive=True,
         ),
         "node_radius": _hap(1, 3, "SELECT id, count, round(0.3 + sqrt(count::DOUBLE) / (SELECT max(sqrt(count::DOUBLE)) FROM haps) * (1.05 - 0.3), 6) AS radius FROM haps", _PAIRS),
@@ -367,9 +378,9 @@ FROM (SELECT DISTINCT unnest([ref, alt1, alt2]) AS allele FROM variants WHERE po
     }
     out["hap_scale"] = _with(
         """cell AS (
-  SELECT l_suppkey AS sample_ord, l_partkey % 50 AS pos, l_returnflag AS f, l_linenumber AS n,
-    row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_returnflag) AS r
-  FROM lineitem WHERE l_partkey % 50 < 3)""",
+  SELECT l_suppkey AS sample_ord, l_partkey % 3 AS pos, l_returnflag AS f, l_linenumber AS n,
+    row_number() OVER (PARTITION BY l_suppkey, l_partkey % 3 ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_returnflag) AS r
+  FROM lineitem)""",
         "c1 AS (SELECT sample_ord, pos, n, CASE f WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS a1 FROM cell WHERE r = 1)",
         """profiles AS (
   SELECT sample_ord, string_agg(state, '|' ORDER BY pos) AS hap FROM (SELECT *, CASE WHEN n <> 7 THEN a1 || '/' || a1 END AS state FROM c1)
@@ -399,6 +410,27 @@ UNION ALL SELECT rank + 1, label, 3 + (SELECT count(*) FROM names)::INT, count |
 o AS (SELECT *, row_number() OVER (PARTITION BY sel_ord ORDER BY hit DESC, CASE WHEN hit THEN 0 ELSE gap END, gs, file_ord) AS r FROM m)""",
         select="SELECT sel_ord, 'chr1' AS chr, s AS start, e AS \"end\", CASE WHEN hit THEN id ELSE id || ':' || gap END AS ann FROM o WHERE r = 1",
     )
+    out["network_msn_batch"] = _with(
+        _CALLS,
+        _BATCH,
+        f"""bpairs AS (
+  SELECT a.sel_ord AS net, a.rank - 1 AS i, b.rank - 1 AS j, {_char_distance("a.hap", "b.hap")} AS d FROM bs a JOIN bs b ON a.sel_ord = b.sel_ord AND a.rank < b.rank)""",
+        "ordered AS (SELECT row_number() OVER (PARTITION BY net ORDER BY d, i, j) AS k, * FROM bpairs)",
+        """grown(net, k, comp, d, taken) AS (
+  SELECT sel_ord, 0::BIGINT, range(count(*)), 0::INT, false FROM bs GROUP BY sel_ord
+  UNION ALL
+  SELECT q.net, r.k, CASE WHEN comp[r.i + 1] <> comp[r.j + 1] THEN [CASE WHEN c = comp[r.j + 1] THEN comp[r.i + 1] ELSE c END FOR c IN comp] ELSE comp END,
+    r.d, comp[r.i + 1] <> comp[r.j + 1]
+  FROM grown q JOIN ordered r ON r.net = q.net AND r.k = q.k + 1)""",
+        select="SELECT net::BIGINT AS net_id, count(*) AS edges, sum(d)::BIGINT AS weight FROM grown WHERE taken GROUP BY net",
+        recursive=True,
+    )
+    out["network_json"] = _hap(
+        1, 3,
+        """SELECT '{"edges":[' || (SELECT string_agg('{"source":' || source || ',"target":' || target || ',"weight":' || weight || '}', ',' ORDER BY source, target) FROM msn) ||
+  '],"nodes":[' || (SELECT string_agg('{"id":' || (rank - 1) || ',"is_median":false,"samples":[' || array_to_string([('"' || label || '"') FOR k IN range(count)], ',') || '],"sequence":"' || hap || '"}', ',' ORDER BY rank) FROM labels) || ']}' AS json""",
+        _PAIRS, _MSN, recursive=True,
+    )
     tab = "chr(9)"
     out["summary_tsv"] = _hap(
         1, 3,

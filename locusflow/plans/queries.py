@@ -48,7 +48,7 @@ def site_alleles(spark, d):
 def state_labels(spark, d):
     v = bridge.variants(spark)
     alleles = v.select("pos", genotype.allele_text(F.col("ref"), F.col("alt")).alias("allele"))
-    joined = _states(spark, d, True).filter("pos <= 8 and state is not null").join(alleles, "pos")
+    joined = _states(spark, d, True).filter("state is not null").join(alleles, "pos")
     return joined.select("sample_ord", "pos", genotype.state_label(F.col("state"), F.col("allele")).alias("label"))
 
 
@@ -107,8 +107,8 @@ def hap_approx_summary(spark, d):
 
 @query
 def hap_scale(spark, d):
-    """Suppliers over the first three part classes of ``lineitem``."""
-    return grouping.summarize(grouping.sample_profiles(bridge.lineitem_calls(spark, d).filter("variant_ord < 3"))).select("rank", "label", "hap", "count")
+    """Suppliers over the classes of all parts in ``lineitem``."""
+    return grouping.summarize(grouping.sample_profiles(bridge.lineitem_calls(spark, d))).select("rank", "label", "hap", "count")
 
 
 @query
@@ -130,6 +130,23 @@ def view_counters(spark, d):
     return bridge.view_of(spark, d, bridge.nation_selectors(spark, d)).counters
 
 
+@query
+def record_overlap(spark, d):
+    """Records whose reference allele reaches into each nation's window."""
+    from locusflow.operators.calls import select_variants
+
+    return select_variants(bridge.variants(spark), bridge.nation_selectors(spark, d)).select("sel_ord", "pos", "ref")
+
+
+@query
+def population_lines(spark, d):
+    """Customers written as population lines, some with blanks, empty or repeated names, and decoded again."""
+    c = bridge.table(spark, d, "customer")
+    name = F.when(F.col("c_custkey") % 11 == 0, "").otherwise(F.concat(F.lit(" C"), (F.col("c_custkey") % 500).cast("string")))
+    line = F.concat(name, F.when(F.col("c_custkey") % 13 == 0, "").otherwise(F.concat(F.lit("\t"), F.col("c_mktsegment"), F.lit(" \r"))))
+    return side.decode_populations(c.select(F.col("c_custkey").alias("ord"), line.alias("value")))
+
+
 @query
 def debug_fetch(spark, d):
     return vcf.fetch_counts(bridge.variants(spark), bridge.samples(spark, d))
@@ -138,7 +155,7 @@ def debug_fetch(spark, d):
 @query
 def vcf_decode(spark, d):
     """Calls written as VCF lines and decoded again."""
-    c = bridge.calls(spark, d, 8).filter("sample_ord < 100")
+    c = bridge.calls(spark, d)
     text = lambda a: F.coalesce(F.col(a).cast("string"), F.lit("."))
     cell = F.concat(text("a1"), F.when(F.col("pos") % 2 == 0, "/").otherwise("|"), text("a2"), F.lit(":9"))
     rows = c.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("sample_ord", cell.alias("c")))).alias("x"))
@@ -280,7 +297,7 @@ def intermediates(spark, d):
 
 @query
 def quasi_medians(spark, d):
-    s = _bases(spark, d).filter("id < 8")
+    s = _bases(spark, d)
     a, b, c = (s.select(F.col("id").alias(i), F.col("sequence").alias(q), F.lit(0).alias("k")) for i, q in (("i", "a"), ("j", "b"), ("l", "c")))
     three = a.join(b, "k").filter("i < j").join(c, "k").filter("j < l")
     out = three.withColumn("median", F.explode(sequences.quasi_medians(F.col("a"), F.col("b"), F.col("c"))))
@@ -311,13 +328,13 @@ def network_mjn(spark, d):
 
 @query
 def network_mjn_medians(spark, d):
-    return network.edges_of(network.network_parts(_haps(spark, d).filter("id < 10"), "mjn", epsilon=12)).drop("net_id")
+    return network.edges_of(network.network_parts(_haps(spark, d), "mjn", epsilon=2)).drop("net_id")
 
 
 @query
 def network_msn_batch(spark, d):
     """A network for each nation's window, all in one plan."""
-    v = bridge.view_of(spark, d, bridge.nation_selectors(spark, d).filter("sel_ord < 8"))
+    v = bridge.view_of(spark, d, bridge.nation_selectors(spark, d))
     edges = network.edges_of(network.network_parts(v.network_input(), "msn"))
     return edges.groupBy("net_id").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
@@ -337,7 +354,7 @@ def degree(spark, d):
 
 @query
 def bfs_hops(spark, d):
-    return network.shortest_paths(*_msn(spark, d)).filter("source = 0").drop("net_id")
+    return network.shortest_paths(*_msn(spark, d)).drop("net_id")
 
 
 @query

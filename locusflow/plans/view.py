@@ -181,17 +181,24 @@ def view(
 ) -> HapView:
     """A view of wide ``variants`` (``sources.vcf``) for ``samples`` and ``selectors``.
 
-    All selectors go through one range join and one aggregation. ``genes`` are gene features, ``populations`` and ``geo`` the side tables.
+    All selectors go through one range join and one aggregation, after a filter on their outer bounds that the scan can use; of the
+    genotypes only the wanted samples' are unfolded. ``genes`` are gene features, ``populations`` and ``geo`` the side tables.
     With ``bed_zero_based`` the start of BED records is moved by one for the scan, too.
     """
     if max_diff is not None and not 0 <= max_diff <= 1:
-        raise ValueError("max diff must be a float in [0, 1]")
+        raise ValueError(f"the share of differing sites lies between 0 and 1, not at {max_diff}")
     if bed_zero_based:
         selectors = selectors.withColumn("start", F.when(F.col("type") == "bed-record", F.col("start") + 1).otherwise(F.col("start")))
-    chosen = calls.select_variants(variants, selectors, overlap)
+    chosen = calls.select_variants(calls.prune(variants, selectors, overlap), selectors, overlap)
     return HapView(selectors, samples, chosen, _calls(chosen, samples), genes, populations, geo, by, impute, max_diff, bed_zero_based)
 
 
 def _calls(chosen: DataFrame, samples: DataFrame) -> DataFrame:
-    long = chosen.select("sel_ord", "variant_ord", F.posexplode("genotypes").alias("column", "g"))
+    wanted = sorted(r["column"] for r in samples.select("column").distinct().collect())  # a header's length at most
+    if wanted == list(range(len(wanted))):
+        each = F.posexplode(F.slice("genotypes", 1, max(1, len(wanted)))).alias("column", "g")
+        long = chosen.select("sel_ord", "variant_ord", each)
+    else:
+        each = F.transform(F.from_json(F.lit(str(wanted)), "array<int>"), lambda i: F.struct(i.alias("column"), F.get("genotypes", i).alias("g")))
+        long = chosen.select("sel_ord", "variant_ord", F.explode(each).alias("x")).select("sel_ord", "variant_ord", "x.*")
     return long.join(samples, "column").select("sel_ord", "variant_ord", "sample_ord", "sample", F.col("g.a1").alias("a1"), F.col("g.a2").alias("a2"))

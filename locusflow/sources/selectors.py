@@ -12,10 +12,10 @@ def parse_region(text: str) -> dict:
     """``chrom:start-end`` or ``chrom:pos``, split at the first colon; digits only. Start may exceed end."""
     chrom, colon, coords = text.partition(":")
     if not colon or not chrom or not coords:
-        raise ValueError("region must look like chr:start-end or chr:pos")
+        raise ValueError(f"not a place on a chromosome: {text!r}; write CHROM:START-END or CHROM:POS")
     start, dash, end = coords.partition("-")
-    if not (start.isdigit() and (end.isdigit() if dash else True)):
-        raise ValueError("region range must be numeric" if dash else "site position must be numeric")
+    if not all(x.isascii() and x.isdigit() for x in ([start, end] if dash else [start])):
+        raise ValueError(f"positions are written in digits only, not {coords!r}")
     kind = "region" if dash else "site"
     return {"type": kind, "record_id": None, "chrom": chrom, "start": int(start), "end": int(end) if dash else int(start)}
 
@@ -33,7 +33,7 @@ def parse_bed_lines(lines: DataFrame, skip_blank: bool = True) -> DataFrame:
     """
     blank = F.trim(F.regexp_replace("value", r"\s", "")) == "" if skip_blank else F.rtrim(F.col("value"), F.lit("\r")) == ""
     f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    bad = F.raise_error(F.lit("BED rows must have at least 3 columns"))
+    bad = F.raise_error(F.lit("a BED line lacks its chromosome, start or end"))
     rows = lines.filter(~blank).select(F.col("line_no"), F.when(F.size(f) < 3, bad.cast("array<string>")).otherwise(f).alias("f"))
     name = F.get("f", 3)
     return rows.select(
@@ -55,14 +55,14 @@ def read_bed(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFra
 def validate(region: str | None, regions_file: str | None, by: str = "auto", max_diff: float | None = None) -> str:
     """The grouping unit that the arguments ask for; raises on contradictions."""
     if bool(region) == bool(regions_file):
-        raise ValueError("exactly one of region and regions file is required")
+        raise ValueError("name either a region or a file of regions")
     if max_diff is not None and not 0 <= max_diff <= 1:
-        raise ValueError("max diff must be a float in [0, 1]")
+        raise ValueError(f"the share of differing sites lies between 0 and 1, not at {max_diff}")
     if regions_file:
         if by == "site":
-            raise ValueError("site grouping is only valid with chr:pos")
+            raise ValueError("a file of regions cannot be grouped by site")
         return "region"
     kind = parse_region(region)["type"]
     if by not in ("auto", kind):
-        raise ValueError(f"grouping by {by} conflicts with the selector ({kind})")
+        raise ValueError(f"a {kind} was given, so it cannot be grouped by {by}")
     return kind

@@ -67,6 +67,13 @@ def read_populations(spark: SparkSession, path: str) -> DataFrame:
     return decode_populations(ordered_lines(spark, path))
 
 
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, cells`` of a written summary table: its header lines and one line for each haplotype."""
+    from locusflow.sources.text import numbered_lines
+
+    return numbered_lines(spark, path).select("line_no", F.split(F.regexp_replace("value", "\r$", ""), "\t", -1).alias("cells"))
+
+
 def read_geo(spark: SparkSession, path: str) -> DataFrame:
     """``sample, lon, lat`` of a tab-separated file with header; a missing coordinate column is 0."""
     df = spark.read.csv(path, sep="\t", header=True)

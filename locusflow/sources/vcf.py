@@ -14,7 +14,7 @@ def header_samples(spark: SparkSession, path: str) -> list[str]:
     """The sample names of a VCF in header order."""
     first = spark.read.text(path).filter(F.col("value").startswith("#CHROM")).first()
     if first is None:
-        raise ValueError("VCF header line not found")
+        raise ValueError(f"{path} has no line that names the samples")
     return first["value"].rstrip("\r").split("\t")[FIXED_COLUMNS:]
 
 
@@ -35,16 +35,19 @@ def decode_variants(lines: DataFrame) -> DataFrame:
     record = ~F.col("value").startswith("#") & (F.col("value") != "")
     rows = lines.select("ord", F.when(record, F.split(F.regexp_replace("value", "\r$", ""), "\t")).alias("f")).filter(F.col("f").isNotNull())
     at = F.array_position(F.split(F.get("f", 8), ":"), "GT")
-    bad = F.raise_error(F.lit("GT of a VCF record cannot be decoded")).cast("int")
+    bad = F.raise_error(F.lit("a VCF record has no genotypes: its format lacks GT")).cast("int")
     rows = rows.withColumn("gt", F.when(at > 0, (at - 1).cast("int")).when(F.col("f").isNotNull(), bad))
     alt = F.get("f", 4)
+    cells = F.slice("f", F.lit(FIXED_COLUMNS + 1), F.greatest(F.size("f") - FIXED_COLUMNS, F.lit(0)))
+    # the place of GT is bound once for each record: inside the inner function Spark would find it, and split the line, for each cell
+    genotypes = F.get(F.transform(F.array("gt"), lambda at: F.transform(cells, lambda c: genotype(c, at))), 0)
     return rows.select(
         F.col("ord").alias("variant_ord"),
         F.get("f", 0).alias("chrom"),
         F.get("f", 1).try_cast("int").alias("pos"),
         F.get("f", 3).alias("ref"),
         F.when(alt == ".", F.array().cast("array<string>")).otherwise(F.split(alt, ",")).alias("alt"),
-        F.transform(F.slice("f", F.lit(FIXED_COLUMNS + 1), F.greatest(F.size("f") - FIXED_COLUMNS, F.lit(0))), lambda c: genotype(c, F.col("gt"))).alias("genotypes"),
+        genotypes.alias("genotypes"),
     )
 
 
@@ -60,7 +63,7 @@ def sample_frame(spark: SparkSession, header: list[str], wanted: list[str] | Non
     at = {s: i for i, s in reversed(list(enumerate(header)))}
     names = header if wanted is None else wanted
     if unknown := [s for s in names if s not in at]:
-        raise ValueError(f"sample not found in VCF header: {unknown[0]}")
+        raise ValueError(f"the calls have no sample named {unknown[0]}")
     rows = [(i, s, i if wanted is None else at[s]) for i, s in enumerate(names)]
     return spark.createDataFrame(rows, "sample_ord int, sample string, column int")
 
@@ -82,8 +85,17 @@ def read_samples(spark: SparkSession, path: str) -> list[str]:
 
 
 def store_variants(variants: DataFrame, path: str) -> None:
-    """Parquet by chromosome, sorted by position: a region reads one folder and few row groups."""
-    variants.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "variant_ord").write.partitionBy("chrom").parquet(path)
+    """Parquet by chromosome, sorted by position, with the ``last`` position of each record.
+
+    ``view`` of what ``read_stored`` returns reads one folder and few row groups of a region.
+    """
+    last = F.col("pos") + F.greatest(F.char_length("ref"), F.lit(1)) - 1
+    variants.withColumn("last", last.cast("int")).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "variant_ord").write.partitionBy("chrom").parquet(path)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """What ``store_variants`` wrote."""
+    return spark.read.parquet(path)
 
 
 def fetch_counts(variants: DataFrame, samples: DataFrame) -> DataFrame:

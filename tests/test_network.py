@@ -106,6 +106,27 @@ def test_sequence_functions(spark):
     assert df.select(sq.intermediate(a, b, F.lit(1), F.lit(2))).first()[0] == "TTTTATCG"
 
 
+def test_layout_keeps_path_lengths():
+    """On random trees: near nodes lie nearer than far ones, edges are about as long as their weight, and no circles meet."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 12, 30):
+        links = [(int(rng.integers(0, i)), i, int(rng.integers(1, 4))) for i in range(1, n)]
+        radii = rng.uniform(0.3, 1.0, n)
+        pos = geometry.stress_layout(n, links, radii)
+        assert pos.shape == (n, 2) and np.allclose(pos.mean(axis=0), 0) and np.isfinite(pos).all()
+        if n < 2:
+            continue
+        gap, want = np.linalg.norm(pos[:, None] - pos[None], axis=2), geometry.path_lengths(n, links)
+        i, j = np.triu_indices(n, 1)
+        assert n < 4 or np.corrcoef(gap[i, j], want[i, j])[0, 1] > 0.8
+        assert (gap[i, j] > 0.5 * (radii[i] + radii[j])).mean() > 0.97
+        long = [gap[a, b] - radii[a] - radii[b] for a, b, w in links if w == 3]
+        short = [gap[a, b] - radii[a] - radii[b] for a, b, w in links if w == 1]
+        assert not long or not short or np.mean(long) > np.mean(short)
+    apart = geometry.stress_layout(4, [(0, 1, 1), (2, 3, 1)], np.full(4, 0.3))
+    assert np.linalg.norm(apart[0] - apart[2]) > np.linalg.norm(apart[0] - apart[1])
+
+
 def test_layout_is_stable_and_ticks_count(spark):
     parts = network.network_parts(frame(spark, FOUR), "msn")
     nodes = network.nodes_of(parts).withColumn("count", F.lit(3))

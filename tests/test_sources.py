@@ -26,14 +26,14 @@ def test_vcf(spark, files):
 
 def test_vcf_without_gt_is_an_error(spark):
     lines = spark.createDataFrame([(0, "c\t1\t.\tA\tC\t1\t.\t.\tDP\t3")], "ord long, value string")
-    with pytest.raises(Exception, match="cannot be decoded"):
+    with pytest.raises(Exception, match="lacks GT"):
         vcf.decode_variants(lines).collect()
 
 
 def test_samples(spark, files):
     assert vcf.read_samples(spark, str(files / "s.txt")) == ["S5", "S1"]
     assert [tuple(r) for r in vcf.sample_frame(spark, data.SAMPLES, ["S5", "S1", "S5"]).collect()] == [(0, "S5", 4), (1, "S1", 0), (2, "S5", 4)]
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no sample named"):
         vcf.sample_frame(spark, data.SAMPLES, ["S7"])
 
 
@@ -53,7 +53,7 @@ def test_selectors(spark, files):
     rows = [tuple(r) for r in selectors.read_bed(spark, str(files / "r.bed")).orderBy("sel_ord").collect()]
     assert rows == [(1, "bed-record", "win1", "ctg_1", 100, 145), (3, "bed-record", "row3", "ctg_1", 145, 200)]
     short = spark.createDataFrame([(1, "ctg\t4")], "line_no int, value string")
-    with pytest.raises(Exception, match="at least 3 columns"):
+    with pytest.raises(Exception, match="lacks its chromosome"):
         selectors.parse_bed_lines(short).collect()
 
 

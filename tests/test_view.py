@@ -1,6 +1,7 @@
 import json
 import subprocess
 import sys
+from xml.etree import ElementTree
 
 import pytest
 from hypothesis import given, settings
@@ -59,6 +60,25 @@ def test_record_overlap(spark, parts):
     assert make(spark, parts, "ctg_1:181-182", overlap="pos").variants.count() == 0
 
 
+def test_stored_regions_are_pruned(spark, parts, tmp_path):
+    """The scan gets the region's bounds, and both overlap rules give what the text gives."""
+    vcf.store_variants(parts["variants"], str(tmp_path / "v"))
+    stored = vcf.read_stored(spark, str(tmp_path / "v"))
+    for region in ("ctg_1:181-182", "ctg_1:100-200", "ctg_1:145", "other:1-9"):
+        for overlap in ("record", "pos"):
+            sel = selectors.from_regions(spark, [region])
+            v = view(stored, parts["samples"], sel, overlap=overlap)
+            assert haps(v) == haps(view(parts["variants"], parts["samples"], sel, overlap=overlap))
+    plan = view(stored, parts["samples"], selectors.from_regions(spark, ["ctg_1:100-200"])).variants._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(pos,200)" in plan and "GreaterThanOrEqual(last,100)" in plan
+
+
+def test_samples_are_picked_before_genotypes_unfold(spark, parts):
+    two = vcf.sample_frame(spark, data.SAMPLES, ["S6", "S2"])
+    v = make(spark, parts, "ctg_1:100-200", samples=two)
+    assert sorted((r.sample, r.variant_ord) for r in v.calls.collect()) == sorted((r.sample, r.variant_ord) for r in make(spark, parts, "ctg_1:100-200").calls.collect() if r.sample in ("S6", "S2"))
+
+
 def test_subset_keeps_list_order(spark, parts):
     v = make(spark, parts, "ctg_1:100-145", samples=vcf.sample_frame(spark, data.SAMPLES, ["S6", "S1"]))
     assert [r.sample for r in v.accessions.orderBy("sample_ord").collect()] == ["S6", "S1"]
@@ -115,6 +135,8 @@ def test_written_tables(spark, parts, tmp_path):
     assert lines[4] == "H001\tC\tT\tA\tS1;S5\t2"
     assert paths[0][1].read_text().splitlines()[4:6] == ["H001\tC\tT\tA\tS1", "H003\tG\tT\tA\tS2"]
     sinks.write_line_folders(v.summary_lines(), v.selectors, str(tmp_path / "folders"))
+    read = side.read_summary(spark, str(paths[0][0])).orderBy("line_no").collect()
+    assert ["\t".join(r.cells) for r in read] == lines
     got = next((tmp_path / "folders" / "region=ctg_1_100_200").glob("part-*")).read_text().splitlines()
     assert got == lines
 
@@ -155,4 +177,20 @@ def test_command(parts, tmp_path):
     assert names == {"hap_summary.tsv", "hapresult.tsv", "gff_ann_summary.tsv", "ctg_1_100_200.json", "ctg_1_100_200_map.json", "ctg_1_100_200_network.json"}
     assert (tmp_path / "o" / "gff_ann_summary.tsv").read_text() == "chr\tstart\tend\tann\nctg_1\t100\t200\tgeneA\n"
     bad = run("-r", "ctg_1:100", "--by", "region")
-    assert bad.returncode != 0 and "conflicts" in bad.stderr
+    assert bad.returncode != 0 and "cannot be grouped by" in bad.stderr
+
+
+def test_drawn_figures(spark, parts, tmp_path):
+    from argparse import Namespace
+
+    from locusflow.__main__ import figures as draw
+
+    v = make(spark, parts, "ctg_1:100-200", populations=parts["populations"], geo=parts["geo"])
+    args = Namespace(output_file=str(tmp_path / "s"), plot=True, plot_format="svg", network=True, network_method="tcs", epsilon=0, metric="char")
+    assert set(draw(v, args, 0, 1, "ctg_1_100_200")) == {"plot_file", "geo_file", "network_file"}
+    figures = sorted((tmp_path / "s").glob("*.svg"))
+    assert [p.name for p in figures] == ["ctg_1_100_200.svg", "ctg_1_100_200_map.svg", "ctg_1_100_200_network.svg"]
+    for p, least in zip(figures, (20, 2, 8), strict=True):
+        root = ElementTree.parse(p).getroot()
+        assert root.tag.endswith("svg") and len(root) >= least
+    assert "GCCTA" not in figures[0].read_text() and "H001" in figures[2].read_text()
