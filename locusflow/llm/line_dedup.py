@@ -6,7 +6,8 @@ a bucket emits a spanning forest of its links. Components keep the line that occ
 
 A pair of similarity 0.8 shares a band with a probability of 99 %; at 0.05, the usual value for two lines of one
 language, of 4 in a million. Only lines that share a bucket have their text moved: a bit set of fixed size, filled
-with their ids, lets the others go before the shuffle. Buckets over ``BLOCK`` lines are compared in pairs of blocks.
+with their ids, lets the others go before the shuffle. Larger buckets are dealt to blocks by the hash of the line, and
+every two blocks are compared; a bucket is never held as a whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ SHINGLE = 7
 BANDS = 12
 ROWS = 5
 SIMILARITY = 0.8
+#: About the most lines, and the most characters, of a block; a longer line is a block with few others.
 BLOCK = 512
+BLOCK_CHARS = 2_000_000
 #: Bits of the set of candidate lines; a fuller set moves more lines and changes no result.
 FILTER_BITS = 1 << 26
 #: Characters hashed at once: arrays of this size stay in a core's cache.
@@ -167,14 +170,12 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
                 ids = np.array([_id(k) for k in keys[a:b]], dtype=np.int64)
                 yield pd.DataFrame({"band": bands(lines[a:b]).ravel(), "line": np.repeat(ids, BANDS)})
 
-    # most bands have one line: those are dropped by their extremes, with plain numbers in one shuffle, before any list is made
+    # most bands have one line: those are dropped by their extremes, with plain numbers in one shuffle
     banded = some.mapInPandas(signatures, "band long, line long").repartition("band")
     met = banded.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high").select("band")
-    lists = banded.join(met.hint("shuffle_hash"), "band").groupBy("band").agg(F.collect_set("line").alias("lines"))
-    shared = materialize(lists.select(F.array_sort("lines").alias("lines")).distinct(), "buckets")
-    # equal sets from several bands are one bucket
+    shared = materialize(banded.join(met.hint("shuffle_hash"), "band").distinct(), "buckets")
     n_bits = FILTER_BITS
-    cells = shared.select(F.explode("lines").alias("x")).select(F.pmod("x", F.lit(n_bits)).alias("p"))
+    cells = shared.select(F.pmod("line", F.lit(n_bits)).alias("p"))
     cells = cells.groupBy(F.expr("cast(p div 64 as int)").alias("c")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
     got = cells.toPandas()  # at most FILTER_BITS / 64 rows
     bits = np.zeros(n_bits // 64, dtype=np.int64)
@@ -192,15 +193,21 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
                 yield pd.DataFrame({"line": ids[some], "key": [keys[i] for i in some], "s": [lines[i] for i in some]})
 
     found = some.mapInPandas(texts, "line long, key binary, s string").groupBy("line", "key").agg(F.min("s").alias("s"))
-    blocks = F.ceil(F.size("lines") / BLOCK).cast("int")
-    bucket = shared.select(F.xxhash64("lines").alias("b1"), F.hash("lines").alias("b2"), blocks.alias("n"), F.posexplode("lines").alias("i", "line"))
-    bucket = bucket.withColumn("at", F.floor(F.col("i") / BLOCK).cast("int"))
+    found = materialize(found, "found")
+    # bands with equal sets of lines are one bucket: sets are told apart by their size and 128 bits of their members' hashes
+    of = [F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    known = shared.join(found.groupBy("line").agg(F.max(F.length("s")).alias("chars")), "line")
+    bucket = known.groupBy("band").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"), *of)
+    bucket = bucket.groupBy("k", "chars", "h0", "h1").agg(F.min("band").alias("band"))
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("n")
+    placed = join_by_size(shared, materialize(bucket.select("band", "k", blocks), "sizes"), "band", "k", shared.count())
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("line"), "n").cast("int"))
     # a block meets itself and every other block of its bucket once
-    pairs = bucket.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "b1", "b2", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"), "at", "line"
+    pairs = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+        "band", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"), "at", "line"
     )
     member = F.struct("at", "key", "s")
-    rows = pairs.join(found, "line").groupBy("b1", "b2", "x", "y").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    rows = pairs.join(found, "line").groupBy("band", "x", "y").agg(F.array_sort(F.collect_list(member)).alias("m"))
 
     def verify(batches):
         for batch in batches:  # one row per bucket or pair of blocks, of at most 2 * BLOCK lines

@@ -448,8 +448,9 @@ def test_lines_of_rows_that_share_an_id(spark, tmp_path):
     assert sorted(left) == sorted(["a line of some length", "", "only here", "next to another", "own line"])
 
 
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+@pytest.mark.parametrize("bound", [("BLOCK", 5), ("BLOCK_CHARS", 500)])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, bound):
+    monkeypatch.setattr(line_dedup, *bound)
     stem = "the very same boilerplate sentence with a number at its very end, which differs by line only: "
     rows = [(i, stem + str(i)) for i in range(10, 50)] + [(99, "something else altogether")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
