@@ -1,9 +1,10 @@
 """Language-model scoring with a hidden Markov model.
 
-Words are counted over all training texts. The most frequent ``symbols`` words are symbols of their own; every other
-word belongs to one of eight shape classes, which are symbols too, and has add-one probability within its class.
-A hidden Markov model over these symbols is trained by Baum-Welch: each round's expected counts are computed
-per partition over all training texts, summed by Spark and normalised on the driver (``states * symbols`` numbers).
+Words are counted over all training texts. The most frequent words are symbols of their own, ``symbols`` of them at least and
+more with the vocabulary, as the root of its size; every other word belongs to one of eight shape classes, which are symbols
+too, and has add-one probability within its class. A hidden Markov model over these symbols is trained by Baum-Welch: each
+round's expected counts are computed per partition over all training texts, summed by Spark and normalised on the driver
+(``states * symbols`` numbers). Every round's log-likelihood is kept in the model's ``trace``.
 Texts are scored by the scaled forward recursion, exactly: long texts are cut into chunks whose transfer matrices are
 multiplied, which gives the same likelihood as one pass over the text.
 
@@ -13,9 +14,10 @@ joined by word, so that no word's rows are many.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import repeat
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from locusflow.llm._common import materialize, table
 
 N_CLASSES = 8
+#: Own symbols for each unit of the root of the number of distinct words.
+GROWTH = 4
 CHUNK = 256
 #: Chunks that are worked on together; bounds the memory of a task whatever the texts' lengths.
 GROUP = 4096
@@ -84,7 +88,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The frequent words: ids, symbols, log10 of count + 1; and each class's log10 denominator."""
+    """The frequent words: ids, symbols, log10 of count + 1; and each class's log10 denominator.
+
+    Symbols from ``own`` on are classes; ``dtype`` names the integers that hold a symbol.
+    """
 
     index: dict[bytes, int]
     symbol: np.ndarray
@@ -93,6 +100,8 @@ class Vocabulary:
     symbol_counts: np.ndarray
     total: int
     distinct: int
+    own: int
+    dtype: str
 
 
 def vocabulary(counts: DataFrame, head: int, symbols: int) -> Vocabulary:
@@ -106,20 +115,21 @@ def vocabulary(counts: DataFrame, head: int, symbols: int) -> Vocabulary:
     top = counts.filter(F.col("c") >= at_least).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     c = top["c"].to_numpy(dtype=np.int64)
     names = [w.encode() for w in top["word"]]
-    own = min(symbols, len(names))
-    symbol = np.array([i if i < own else symbols + shape_class(w) for i, w in enumerate(names)], dtype=np.int16)
     rows = counts.groupBy(_shape_column(F.col("word")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n, v = np.zeros(N_CLASSES), np.zeros(N_CLASSES)
     for r in rows:
         n[r["k"]], v[r["k"]] = r["n"], r["v"]
     total, distinct = int(n.sum()), int(v.sum())
+    slots = max(symbols, min(head, GROWTH * math.isqrt(distinct)))
+    own, dtype = min(slots, len(names)), "<i2" if slots + N_CLASSES < 1 << 15 else "<i4"
+    symbol = np.array([i if i < own else slots + shape_class(w) for i, w in enumerate(names)], dtype=dtype)
     for w, x in zip(names[:own], c[:own], strict=True):
         n[shape_class(w)] -= x
         v[shape_class(w)] -= 1
     index = {w: i for i, w in enumerate(names)}
-    each = np.zeros(symbols + N_CLASSES)
-    each[:own], each[symbols:] = c[:own], n
-    return Vocabulary(index, symbol, np.log10(c + 1.0), np.log10(n + v + 1), each, total, distinct)
+    each = np.zeros(slots + N_CLASSES)
+    each[:own], each[slots:] = c[:own], n
+    return Vocabulary(index, symbol, np.log10(c + 1.0), np.log10(n + v + 1), each, total, distinct, slots, dtype)
 
 
 def encode(docs: DataFrame, shared, n_own: int) -> DataFrame:
@@ -128,7 +138,7 @@ def encode(docs: DataFrame, shared, n_own: int) -> DataFrame:
     def run(batches):
         index, symbol, log_count, log_class = shared.value
         get = index.get
-        symbol = np.append(symbol, np.int16(0))  # for words that are not there; replaced below
+        symbol = np.append(symbol, np.zeros(1, symbol.dtype))  # for words that are not there; replaced below
         for pdf in batches:
             rows = []
             for t in pdf["t"]:
@@ -165,6 +175,7 @@ class Hmm:
     start: np.ndarray
     trans: np.ndarray
     emit: np.ndarray
+    trace: list[float] = field(default_factory=list)
 
     @staticmethod
     def initial(states: int, unigram: np.ndarray, seed: int = 7) -> Hmm:
@@ -287,14 +298,11 @@ def expected_counts(seqs: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.nd
     return start, trans * hmm.trans, emit, total
 
 
-def _sequences(blobs) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in blobs]
-
-
-def _parts(blobs, most: int = 400_000):
+def _parts(blobs, dtype: str, most: int = 400_000):
     """Runs of texts with about ``most`` symbols together."""
     run, size = [], 0
-    for x in _sequences(blobs):
+    for blob in blobs:
+        x = np.frombuffer(blob, dtype=dtype).astype(np.int64)
         run.append(x)
         size += len(x)
         if size >= most:
@@ -304,9 +312,13 @@ def _parts(blobs, most: int = 400_000):
         yield run
 
 
-def train_hmm(encoded: DataFrame, states: int, symbol_counts: np.ndarray, rounds: int) -> Hmm:
-    """Baum-Welch over all rows of ``encoded``; without rows a uniform model."""
+def train_hmm(encoded: DataFrame, states: int, symbol_counts: np.ndarray, rounds: int, gain: float, dtype: str) -> Hmm:
+    """Baum-Welch over all rows of ``encoded``; without rows a uniform model.
+
+    It ends with the round that began with less than ``gain`` nats a token above the one before, or after ``rounds``. ``trace`` holds the natural log-likelihood of all rows under the model that each round began with.
+    """
     spark, n_symbols = encoded.sparkSession, len(symbol_counts)
+    n_all = states + states * states + n_symbols * states
 
     def summed(partial) -> dict[int, float]:
         got = encoded.select("sym").mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
@@ -314,6 +326,7 @@ def train_hmm(encoded: DataFrame, states: int, symbol_counts: np.ndarray, rounds
         return dict(zip(pdf["i"].tolist(), pdf["v"].tolist(), strict=True))
 
     unigram = (symbol_counts + 0.1) / (symbol_counts + 0.1).sum()
+    enough = gain * symbol_counts.sum()
     hmm = Hmm.initial(states, unigram)
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((hmm.start, hmm.trans, hmm.emit))
@@ -321,23 +334,25 @@ def train_hmm(encoded: DataFrame, states: int, symbol_counts: np.ndarray, rounds
         def expect(batches, held=held):
             model, acc = Hmm(*held.value), None
             for pdf in batches:
-                for run in _parts(pdf["sym"]):
-                    got = expected_counts(run, model)[:3]
+                for run in _parts(pdf["sym"], dtype):
+                    got = expected_counts(run, model)
                     acc = got if acc is None else tuple(x + y for x, y in zip(acc, got, strict=True))
             if acc is not None:
-                v = np.concatenate([x.ravel() for x in acc])
+                v = np.concatenate([np.ravel(x) for x in acc])
                 i = np.nonzero(v)[0]
                 yield pd.DataFrame({"i": i.astype(np.int32), "v": v[i]})
 
-        flat = np.zeros(states + states * states + n_symbols * states)
+        flat = np.zeros(n_all + 1)
         for i, v in summed(expect).items():
             flat[i] = v
-        start, trans, emit = np.split(flat, [states, states + states * states])
+        start, trans, emit, (total,) = np.split(flat, [states, states + states * states, n_all])
         trans = trans.reshape(states, states) + 0.1
         emit = emit.reshape(n_symbols, states) + unigram[:, None]  # one expected symbol a state as prior
         start = start + 0.1
-        hmm = Hmm(start / start.sum(), trans / trans.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        hmm = Hmm(start / start.sum(), trans / trans.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), [*hmm.trace, float(total)])
         held.unpersist()
+        if len(hmm.trace) > 1 and hmm.trace[-1] - hmm.trace[-2] < enough:
+            break
     return hmm
 
 
@@ -350,7 +365,8 @@ def score_documents(
     states: int = 6,
     symbols: int = 4000,
     head: int = 131_072,
-    rounds: int = 6,
+    rounds: int = 8,
+    gain: float = 0.01,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -363,21 +379,20 @@ def score_documents(
     counts = materialize(word_counts(base.filter(~F.col("held_out"))), "counts")
     vocab = vocabulary(counts, head, symbols)
     shared = spark.sparkContext.broadcast((vocab.index, vocab.symbol, vocab.log_count, vocab.log_class))
-    own = symbols
-    encoded = materialize(encode(base, shared, own).withColumn("rid", F.monotonically_increasing_id()), "encoded")
+    encoded = materialize(encode(base, shared, vocab.own).withColumn("rid", F.monotonically_increasing_id()), "encoded")
     rest = encoded.filter(F.col("rest") != "").select("rid", F.explode(F.split("rest", " ")).alias("word"))
     rest = (
         rest.join(counts, "word")
         .groupBy("rid")
         .agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rest_log"), F.count("*").alias("rest_known"))
     )
-    hmm = train_hmm(encoded.filter(~F.col("held_out")), states, vocab.symbol_counts, rounds)
-    model = spark.sparkContext.broadcast((hmm.start, hmm.trans, hmm.emit))
+    hmm = train_hmm(encoded.filter(~F.col("held_out")), states, vocab.symbol_counts, rounds, gain, vocab.dtype)
+    model, dtype = spark.sparkContext.broadcast((hmm.start, hmm.trans, hmm.emit)), vocab.dtype
 
     def forward(batches):
         trained = Hmm(*model.value)
         for pdf in batches:
-            logs = [log_likelihoods(run, trained) for run in _parts(pdf["sym"])]
+            logs = [log_likelihoods(run, trained) for run in _parts(pdf["sym"], dtype)]
             yield pdf.drop(columns=["sym"]).assign(log_p=reduce(lambda a, b: np.concatenate([a, b]), logs, np.zeros(0)) / np.log(10))
 
     columns = "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, class_log double"

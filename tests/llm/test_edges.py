@@ -2,6 +2,7 @@
 
 import collections
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -370,6 +371,62 @@ def slow_counts(seq, hmm):
     return f[0] * b[0] / p, trans, emit
 
 
+@pytest.mark.parametrize("growth", [0, 40_000])
+def test_hmm_scores_against_plain_python(spark, monkeypatch, growth):
+    """Counting, symbols, Baum-Welch and the forward pass, all word by word; beyond 32,767 symbols they take four bytes each."""
+    monkeypatch.setattr(lm_scoring, "GROWTH", growth)
+    states, rounds, own = 3, 4, 6
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" if i % 5 else f"w{i}." for i in range(30)] + ["été", "a1,"]
+    texts = {i: " ".join(rng.choice(vocabulary, rng.integers(0, 25))) for i in range(60)}
+    made = []
+    train = lm_scoring.train_hmm
+    monkeypatch.setattr(lm_scoring, "train_hmm", lambda *a: made.append(train(*a)) or made[-1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = lm_scoring.score_documents(df, states=states, symbols=own, rounds=rounds, gain=-1.0, head=50_000).collect()
+
+    words = {i: [*t.encode().split(), b""] for i, t in texts.items()}
+    learnt = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.Counter(x for w in learnt for x in w)
+    slots = max(own, min(50_000, growth * math.isqrt(len(counts))))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w.decode()))
+    symbol = {w: i for i, w in enumerate(ranked[:slots])}
+    each, kinds = np.zeros(slots + 8), np.zeros(8)
+    for w, n in counts.items():
+        each[symbol.get(w, slots + lm_scoring.shape_class(w))] += n
+        kinds[lm_scoring.shape_class(w)] += w not in symbol
+    unigram = (each + 0.1) / (each + 0.1).sum()
+    hmm = lm_scoring.Hmm.initial(states, unigram)
+    coded = {i: [symbol.get(w, slots + lm_scoring.shape_class(w)) for w in ws] for i, ws in words.items()}
+    trace = []
+    for _ in range(rounds):
+        learn = [coded[i] for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+        trace.append(sum(slow_forward(s, hmm) for s in learn))
+        start, trans, emit = (sum(x) for x in zip(*(slow_counts(s, hmm) for s in learn), strict=True))
+        start, trans, emit = start + 0.1, trans + 0.1, emit + unigram[:, None]
+        hmm = lm_scoring.Hmm(start / start.sum(), trans / trans.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    assert np.allclose(made[0].trace, trace) and trace == sorted(trace)
+    for r in got:
+        inside = sum(
+            math.log10((counts[w] + 1) / (each[slots + lm_scoring.shape_class(w)] + kinds[lm_scoring.shape_class(w)] + 1))
+            for w in words[r.doc_id]
+            if w not in symbol
+        )
+        assert math.isclose(r.score, slow_forward(coded[r.doc_id], hmm) / math.log(10) + inside, rel_tol=1e-6)
+
+
+def test_training_ends_when_the_likelihood_hardly_rises(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a b c d " * 5) for i in range(20)], "doc_id long, text string")
+    kept = []
+    train = lm_scoring.train_hmm
+    monkeypatch.setattr(lm_scoring, "train_hmm", lambda *a: kept.append(train(*a)) or kept[-1])
+    for gain in (-1.0, 0.01, 1e9):
+        lm_scoring.score_documents(df, rounds=30, gain=gain).collect()
+    every, some, least = (k.trace for k in kept)
+    assert len(every) == 30 and len(least) == 2 < len(some) < 30
+    assert np.allclose(some, every[: len(some)])
+
+
 def test_chunked_recursions_are_exact(monkeypatch):
     rng = np.random.default_rng(0)
     hmm = lm_scoring.Hmm.initial(3, np.full(9, 1 / 9))
