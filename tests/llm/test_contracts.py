@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -114,6 +115,55 @@ def test_toxicity_on_held_out_rows(spark):
     assert (yes >= 0.5).mean() > 0.8 and (no >= 0.5).mean() < 0.02
 
 
+def test_toxicity_scores_against_plain_python(spark):
+    """Word choice by z, swaps and a dense Newton solution of the penalised loss; the texts name no groups, so some are put in."""
+    from locusflow.llm import toxicity
+
+    d = "/root/testdata/sf0.01"
+    groups = ["", " muslims", " christians", " gay", ""]
+    text = {r["doc_id"]: (r["text"] or "") + groups[r["doc_id"] % 5] for r in pq.read_table(f"{d}/documents.parquet").to_pylist()}
+    label = {}
+    for r in pq.read_table(f"{d}/labels.parquet").to_pylist():
+        if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            label[r["doc_id"]] = max(label.get(r["doc_id"], 0), r["toxic"])
+    learnt = [i for i in text if i in label]
+    bags = {i: set(re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower())) for i, t in text.items()}
+    y = np.array([label[i] for i in learnt], dtype=float)
+    n = collections.Counter(w for i in learnt for w in bags[i])
+    n1 = collections.Counter(w for i in learnt if label[i] for w in bags[i])
+    one, zero = y.sum(), len(y) - y.sum()
+
+    def z(w):
+        p = n[w] / len(y)
+        return abs(n1[w] / one - (n[w] - n1[w]) / zero) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / one + 1 / zero))
+
+    chosen = [w for w in n if n[w] >= 3 and z(w) >= 5.0]
+    assert 0 < len(chosen) < 1000
+    swap = {}
+    for kind in toxicity.IDENTITY_TERMS:
+        names = kind.encode().split()
+        swap |= {names[i - 1]: names[i] for i in range(len(names))}
+    names = sorted({*chosen, *swap})
+    row = lambda words: np.array([*(w in words for w in names), 1], dtype=float)
+    x = np.array([row(bags[i]) for i in learnt])
+    change = x - np.array([row({swap.get(w, w) for w in bags[i]}) for i in learnt])
+    assert change.any()
+    ridge = np.array([0.02] * len(names) + [1e-3])
+    w = np.zeros(len(names) + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        g = x.T @ (p - y) + ridge * w + 5.0 * change.T @ (change @ w)
+        h = x.T @ (x * np.maximum(p * (1 - p), 1e-9)[:, None]) + np.diag(ridge) + 5.0 * change.T @ change
+        step = np.linalg.solve(h, g)
+        w -= step * min(1.0, 2.0 / np.abs(step).max())
+    assert np.abs(g).max() < 1e-6
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert set(got) == set(text)
+    want = {i: 1 / (1 + math.exp(-float(row(bags[i]) @ w))) for i in text}
+    assert max(abs(got[i] - want[i]) for i in text) < 0.02
+
+
 def test_mixture_meets_its_targets(spark):
     from locusflow.llm.mixing import BUDGET, TARGETS
 
