@@ -13,7 +13,6 @@ every two blocks are compared; a bucket is never held as a whole.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +31,13 @@ BLOCK_CHARS = 2_000_000
 #: Bits of the set of candidate lines; a fuller set moves more lines and changes no result.
 FILTER_BITS = 1 << 26
 #: Characters hashed at once: arrays of this size stay in a core's cache.
-_CHARS = 100_000
+_CHARS = 64_000
+#: Lines whose bands are packed at once.
+_LINES = 1 << 16
+#: Groups of bands, by their first bits: a group's numbers from one pack travel as one row.
+GROUP_BITS = 12
+#: Numbers of a group that are held before those that have met go on.
+HELD = 1 << 20
 
 
 def normal_lines(text: str | None) -> list[tuple[int, str]]:
@@ -53,14 +58,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _polynomial(codes: np.ndarray, n: int) -> np.ndarray:
+    """Of every ``n`` numbers in a row the sum of their multiples by falling powers of one factor, by halves."""
+    if n == 1:
+        return codes
+    half = n // 2
+    part = _polynomial(codes, half)
+    to = len(codes) - n + 1
+    out = part[:to] * np.uint64(pow(0x9E3779B97F4A7C15, half, 1 << 64))
+    out += part[half : half + to]
+    if n % 2:
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += codes[n - 1 :]
+    return out
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all lines in a row, and where each line's begin. A shorter line is one shingle."""
     padded = [x if len(x) >= SHINGLE else x + "\x00" * (SHINGLE - len(x)) for x in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
-    h = np.zeros(max(len(codes) - SHINGLE + 1, 0), dtype=np.uint64)
-    for j in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : len(codes) - SHINGLE + 1 + j]
+    h = _polynomial(codes, SHINGLE)
     n = size - SHINGLE + 1
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     # the positions whose shingle crosses into the next line go
@@ -78,18 +96,22 @@ def _parameters() -> tuple[np.ndarray, np.ndarray]:
 
 def bands(lines: list[str]) -> np.ndarray:
     """One row of ``BANDS`` signed 64-bit keys per line."""
-    h, begin = shingle_hashes(lines)
-    low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
     mul, add = _parameters()
-    out = np.empty((len(lines), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(lines), (b + 1) * 0xD6E8FEB86659FD93 % (1 << 64), dtype=np.uint64)
-        for r in range(b * ROWS, b * ROWS + ROWS):
+    least = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint32)
+    for a, b in _runs(lines):
+        h, begin = shingle_hashes(lines[a:b])
+        low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+        x = np.empty_like(low)
+        for r in range(BANDS * ROWS):
             # odd multiples of one half, shifted by the other: a permutation of 32 bits each time
-            least = np.minimum.reduceat((low ^ add[r]) * mul[r] + high, begin)
-            key = _mix(key ^ least.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, b] = key
-    return out.view(np.int64)
+            np.bitwise_xor(low, add[r], out=x)
+            np.multiply(x, mul[r], out=x)
+            np.add(x, high, out=x)
+            np.minimum.reduceat(x, begin, out=least[r, a:b])
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93), len(lines), axis=1)
+    for r in range(ROWS):
+        key = _mix(key ^ least[r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+    return np.ascontiguousarray(key.T).view(np.int64)
 
 
 def _runs(lines: list[str]):
@@ -104,14 +126,70 @@ def _runs(lines: list[str]):
         yield begin, len(lines)
 
 
-def _distinct(pdf: pd.DataFrame) -> tuple[list[str], list[bytes]]:
-    seen = {x for t in pdf["t"] for _, x in normal_lines(t)}
-    lines = list(seen)
-    return lines, [line_key(x) for x in lines]
-
-
-def _id(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
+def _distinct(batch: pa.RecordBatch) -> tuple[list[str], list[bytes], np.ndarray]:
+    """The distinct lines of a batch, their keys, and of each key the first half as a number."""
+    lines = list({x for t in batch.column("t").to_pylist() for _, x in normal_lines(t)})
+    keys = [line_key(x) for x in lines]
+    return lines, keys, np.frombuffer(b"".join(keys), dtype="<i8")[::2]
+
+
+def packed(pairs: np.ndarray) -> pa.RecordBatch:
+    """``part, pairs``: rows ``(band, line)``, the bytes of those whose bands begin with the same bits in one row."""
+    pairs = np.ascontiguousarray(pairs[np.argsort(pairs[:, 0].view(np.uint64))])
+    part = (pairs[:, 0].view(np.uint64) >> np.uint64(64 - GROUP_BITS)).astype(np.int32)
+    begin = np.nonzero(np.diff(part, prepend=-1))[0]
+    ends = np.append(begin, len(part)).astype(np.int32) * 16
+    held = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+    return pa.RecordBatch.from_arrays([pa.array(part[begin]), held], ["part", "pairs"])
+
+
+def met(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows ``(band, line)`` the distinct ones of bands with several lines; and one row of every band."""
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    new = np.ones(len(pairs), dtype=bool)
+    new[1:] = pairs[1:, 0] != pairs[:-1, 0]
+    again = ~new
+    again[:-1] |= ~new[1:]
+    some = pairs[again]
+    some = some[np.lexsort((some[:, 1], some[:, 0]))]
+    same = some[1:, 0] == some[:-1, 0]
+    keep = np.ones(len(some), dtype=bool)
+    keep[1:] = ~same | (some[1:, 1] != some[:-1, 1])
+    some = some[keep]
+    same = some[1:, 0] == some[:-1, 0]
+    shared = np.zeros(len(some), dtype=bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    return some[shared], pairs[new]
+
+
+def shared_bands(batches):
+    """``band, line`` of bands with several lines, from rows of ``packed`` in the order of ``part``.
+
+    A group that is long holds one row of every band and lets the others go; those may come again.
+    """
+    part, parts, size, bound = None, [], 0, HELD
+
+    def rows(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["band", "line"])
+
+    for batch in batches:
+        out = []
+        for p, raw in zip(batch.column("part").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+            if p != part:
+                if parts:
+                    out.append(met(np.concatenate(parts))[0])
+                part, parts, size, bound = p, [], 0, HELD
+            parts.append(np.frombuffer(raw, dtype="<i8").reshape(-1, 2))
+            size += len(parts[-1])
+            if size >= bound:
+                some, left = met(np.concatenate(parts))
+                out.append(some)
+                parts, size, bound = [left], len(left), max(HELD, 2 * len(left))
+        if out:
+            yield rows(np.concatenate(out))
+    if parts:
+        yield rows(met(np.concatenate(parts))[0])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -126,6 +204,13 @@ def verified_links(names: list[bytes], sets: list[np.ndarray], left: int, simila
 
     The first ``left`` meet all that follow them, the others only those. Pairs that are connected already are skipped.
     """
+    if len(sets) == 2:  # most buckets
+        a, b = len(sets[0]), len(sets[1])
+        if left and min(a, b) >= similarity * max(a, b):
+            common = _common(*sets)
+            if common >= similarity * (a + b - common):
+                return [(names[0], names[1])]
+        return []
     size = np.array([len(x) for x in sets])
     group, out = np.arange(len(sets)), []
     for i in range(left):
@@ -142,8 +227,15 @@ def verified_links(names: list[bytes], sets: list[np.ndarray], left: int, simila
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     h, begin = shingle_hashes(lines)
-    ends = [*begin[1:].tolist(), len(h)]
-    return [np.unique(h[x:y]) for x, y in zip(begin.tolist(), ends, strict=True)]
+    begin = begin.tolist()
+    for x, y in zip(begin, [*begin[1:], len(h)], strict=True):
+        h[x:y].sort()
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    new[begin] = True
+    ends = [*np.concatenate([[0], np.cumsum(new)])[begin].tolist(), int(new.sum())]
+    h = h[new]
+    return [h[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _bucket_runs(ends: np.ndarray, lines: list[str]):
@@ -164,16 +256,15 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
     some = docs.select(F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
 
     def signatures(batches):
-        for pdf in batches:
-            lines, keys = _distinct(pdf)
-            for a, b in _runs(lines):
-                ids = np.array([_id(k) for k in keys[a:b]], dtype=np.int64)
-                yield pd.DataFrame({"band": bands(lines[a:b]).ravel(), "line": np.repeat(ids, BANDS)})
-
-    # most bands have one line: those are dropped by their extremes, with plain numbers in one shuffle
-    banded = some.mapInPandas(signatures, "band long, line long").repartition("band")
-    met = banded.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high").select("band")
-    shared = materialize(banded.join(met.hint("shuffle_hash"), "band").distinct(), "buckets")
+        for batch in batches:
+            lines, _, ids = _distinct(batch)
+            for a in range(0, len(lines), _LINES):
+                some = lines[a : a + _LINES]
+                yield packed(np.stack([bands(some).ravel(), np.repeat(ids[a : a + _LINES], BANDS)], axis=1))
+
+    # most bands have one line: the shuffle moves packed numbers in few rows, and only bands with several lines come out
+    banded = some.mapInArrow(signatures, "part int, pairs binary").repartition("part").sortWithinPartitions("part")
+    shared = materialize(banded.mapInArrow(shared_bands, "band long, line long").distinct(), "buckets")
     n_bits = FILTER_BITS
     cells = shared.select(F.pmod("line", F.lit(n_bits)).alias("p"))
     cells = cells.groupBy(F.expr("cast(p div 64 as int)").alias("c")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
@@ -184,15 +275,15 @@ def line_components(docs: DataFrame, text_col: str = "text", similarity: float =
 
     def texts(batches):
         b = held.value
-        for pdf in batches:
-            lines, keys = _distinct(pdf)
-            ids = np.array([_id(k) for k in keys], dtype=np.int64)
+        for batch in batches:
+            lines, keys, ids = _distinct(batch)
             p = ids % n_bits
             some = np.nonzero((b[p >> 6] >> (p & 63)) & 1)[0]
             if len(some):
-                yield pd.DataFrame({"line": ids[some], "key": [keys[i] for i in some], "s": [lines[i] for i in some]})
+                of = [pa.array(ids[some]), pa.array([keys[i] for i in some], pa.binary()), pa.array([lines[i] for i in some], pa.string())]
+                yield pa.RecordBatch.from_arrays(of, ["line", "key", "s"])
 
-    found = some.mapInPandas(texts, "line long, key binary, s string").groupBy("line", "key").agg(F.min("s").alias("s"))
+    found = some.mapInArrow(texts, "line long, key binary, s string").groupBy("line", "key").agg(F.min("s").alias("s"))
     found = materialize(found, "found")
     # bands with equal sets of lines are one bucket: sets are told apart by their size and 128 bits of their members' hashes
     of = [F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"h{i}") for i in range(2)]
@@ -236,15 +327,20 @@ def line_occurrences(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for pdf in batches:
-            got = []
-            for r, d, t in zip(pdf["row"], pdf["doc_id"], pdf["t"], strict=True):
-                got.append((r, d, None, None, t.count("\n") + 1 if t else 1))
-                got += [(r, d, i, line_key(x), None) for i, x in normal_lines(t)]
-            out = pd.DataFrame(got, columns=["row", "doc_id", "line_no", "key", "n_lines"])
-            yield out.assign(**{c: out[c].astype("Int64") for c in ("doc_id", "line_no", "n_lines")})
-
-    return rows.mapInPandas(run, "row long, doc_id long, line_no int, key binary, n_lines long")
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            row, doc = batch.column("row"), batch.column("doc_id")
+            none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
+            n_lines = pa.array([t.count("\n") + 1 if t else 1 for t in texts], pa.int64())
+            names = ["row", "doc_id", "line_no", "key", "n_lines"]
+            yield pa.RecordBatch.from_arrays([row, doc, *none, n_lines], names)
+            found = [normal_lines(t) for t in texts]
+            of = pa.array(np.repeat(np.arange(len(texts)), np.array([len(x) for x in found], dtype=np.int64)))
+            at = pa.array([i for x in found for i, _ in x], pa.int32())
+            keys = pa.array([line_key(x) for y in found for _, x in y], pa.binary())
+            yield pa.RecordBatch.from_arrays([row.take(of), doc.take(of), at, keys, pa.nulls(len(at), pa.int64())], names)
+
+    return rows.mapInArrow(run, "row long, doc_id long, line_no int, key binary, n_lines long")
 
 
 def _decided(lines: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -515,6 +516,61 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, bound):
     assert sorted(r.doc_id for r in got) == list(range(11, 50)) and {r.first_doc for r in got} == {10}
 
 
+@pytest.mark.parametrize("held", [line_dedup.HELD, 7])
+def test_bands_travel_in_few_rows_and_meet(monkeypatch, held):
+    """Bands that lines share are all found, in whatever packs they come, and a pack has a row per group, not per band."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    monkeypatch.setattr(line_dedup, "GROUP_BITS", 3)
+    rng = np.random.default_rng(5)
+    pairs = np.stack([rng.integers(0, 300, 4000) * (1 << 56) // 3 - (1 << 62), rng.integers(-500, 500, 4000)], axis=1)
+    pairs[:800, 0], pairs[800:900] = pairs[0, 0], (-(1 << 63), 17)  # a band of most lines, and one of a single line, often
+    rng.shuffle(pairs)
+    packs = [line_dedup.packed(x) for x in np.array_split(pairs, 9)]
+    assert all(p.num_rows <= 8 for p in packs)
+    table = pa.Table.from_batches(packs).sort_by("part")
+    got = [x for b in line_dedup.shared_bands(iter(table.to_batches(max_chunksize=5))) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    lines = collections.defaultdict(set)
+    for band, line in pairs.tolist():
+        lines[band].add(line)
+    want = {(band, x) for band, xs in lines.items() if len(xs) > 1 for x in xs}
+    assert set(got) == want and (-(1 << 63), 17) not in want and (held == 7 or len(got) == len(want))
+
+
+def test_bands_match_plain_minima():
+    """Over the borders of the runs that are hashed at once, with short, long and repeating lines."""
+    lines = ["abc", "a line of some length here", "ü𝒳" * 40, "x" * 300, *(f"line number {i} of many that fill a run" * 30 for i in range(80))]
+    assert sum(map(len, lines)) > line_dedup._CHARS
+    mul, add = (x.tolist() for x in line_dedup._parameters())
+    m64, m32 = (1 << 64) - 1, (1 << 32) - 1
+
+    def mix(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & m64
+        return x ^ x >> 29
+
+    got = line_dedup.bands(lines).view(np.uint64).tolist()
+    for at in (0, 1, 2, 3, 4, 60, 83):
+        x = [*map(ord, lines[at])] + [0] * (line_dedup.SHINGLE - len(lines[at]))
+        hashes = set()
+        for k in range(len(x) - line_dedup.SHINGLE + 1):
+            h = 0
+            for c in x[k : k + line_dedup.SHINGLE]:
+                h = (h * 0x9E3779B97F4A7C15 + c) & m64
+            hashes.add(mix(h))
+        for b in range(line_dedup.BANDS):
+            key = (b + 1) * 0xD6E8FEB86659FD93 & m64
+            for r in range(b * line_dedup.ROWS, (b + 1) * line_dedup.ROWS):
+                key = mix(key ^ min((((h & m32) ^ add[r]) * mul[r] + (h >> 32)) & m32 for h in hashes)) * 0x9E3779B97F4A7C15 & m64
+            assert got[at][b] == key
+        (own,) = line_dedup.shingle_sets([lines[at]])
+        assert own.tolist() == sorted(hashes)
+
+
+def test_texts_without_lines(spark):
+    df = spark.createDataFrame([(1, ""), (2, " \n\t"), (3, None)], "doc_id long, text string").coalesce(1)
+    assert line_dedup.repeated_lines(df).count() == 0
+    assert [r.text for r in line_dedup.drop_repeated_lines(df).orderBy("doc_id").collect()] == ["", " \n\t", None]
+
+
 def test_shingle_hashes_match_sets():
     lines = ["abcdefghij", "abc", "abcdefgh", "ünïcödé ñ𝒳𝒳"]
     h, begin = line_dedup.shingle_hashes(lines)
