@@ -516,7 +516,7 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, bound):
     assert sorted(r.doc_id for r in got) == list(range(11, 50)) and {r.first_doc for r in got} == {10}
 
 
-@pytest.mark.parametrize("held", [line_dedup.HELD, 7])
+@pytest.mark.parametrize("held", [1 << 20, 7])
 def test_bands_travel_in_few_rows_and_meet(monkeypatch, held):
     """Bands that lines share are all found, in whatever packs they come, and a pack has a row per group, not per band."""
     monkeypatch.setattr(line_dedup, "HELD", held)
@@ -536,6 +536,35 @@ def test_bands_travel_in_few_rows_and_meet(monkeypatch, held):
     assert set(got) == want and (-(1 << 63), 17) not in want and (held == 7 or len(got) == len(want))
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan have written."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    below = plan.children()
+    return own + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_few_rows_are_shuffled_to_find_buckets(spark, monkeypatch):
+    """Not one per line and band."""
+    moved = {}
+
+    def counted(df, name):
+        df.collect()
+        moved[name] = shuffled_rows(df._jdf.queryExecution().executedPlan())
+        return materialize(df, name)
+
+    materialize = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    lines = [f"{zlib.crc32(str(i).encode()):x} {zlib.crc32(str(-i).encode()):x} {i * i:x}" for i in range(1, 3000)]
+    df = spark.createDataFrame([("\n".join([*lines, lines[0] + "a line with some more to it", lines[0] + "a line with some more to it!"]),)], "text string")
+    assert line_dedup.line_components(df.coalesce(1)).count() == 2
+    assert 0 < moved["buckets"] < 2 * len(lines)
+
+
 def test_bands_match_plain_minima():
     """Over the borders of the runs that are hashed at once, with short, long and repeating lines."""
     lines = ["abc", "a line of some length here", "ü𝒳" * 40, "x" * 300, *(f"line number {i} of many that fill a run" * 30 for i in range(80))]
