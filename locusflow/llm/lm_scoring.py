@@ -33,9 +33,11 @@ N_CLASSES = 8
 GROWTH = 4
 CHUNK = 256
 #: Chunks that are worked on together; bounds the memory of a task whatever the texts' lengths.
-GROUP = 4096
-#: Distinct words that a counting task holds at most.
-FLUSH = 600_000
+GROUP = 512
+#: Distinct words that a counting task holds at most, and about how many characters they may have together.
+FLUSH, FLUSH_CHARS = 600_000, 32 << 20
+#: Words that a counting task hands over at once at most, and characters after which none is added.
+PIECE, PIECE_CHARS = 50_000, 4 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -69,19 +71,33 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches):
         seen: Counter = Counter()
+        chars = 0  # the words held have no more than this
 
         def out():
-            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
+            """What is held, a piece at a time: on its way to the JVM a piece takes several times its words' memory."""
+            words, n, size = [], [], 0
+            while seen:
+                w, c = seen.popitem()
+                words.append(w.decode("utf-8", "replace"))
+                n.append(c)
+                size += len(w)
+                if len(words) == PIECE or size > PIECE_CHARS or not seen:
+                    yield pd.DataFrame({"word": words, "n": n})
+                    words, n, size = [], [], 0
 
         for pdf in batches:
             for t in pdf["t"]:
                 seen.update(tokens(t))
                 seen[b""] += 1
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+                chars += len(t or "")
+                full = len(seen) > FLUSH
+                if chars > FLUSH_CHARS:
+                    chars = sum(map(len, seen))
+                    full = full or chars > FLUSH_CHARS // 2
+                if full:
+                    yield from out()
+                    chars = 0
+        yield from out()
 
     return texts.select("t").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 

@@ -2,9 +2,11 @@
 
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -441,6 +443,59 @@ def test_chunked_recursions_are_exact(monkeypatch):
     assert np.isclose(total, sum(slow_forward(s, hmm) for s in seqs))
 
 
+def peak_mb(job):
+    tracemalloc.start()
+    try:
+        return job(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_takes_little_memory_for_a_run_of_uneven_texts():
+    """Short texts beside long ones: the memory that steps take goes with the chunks that are worked on together."""
+    rng = np.random.default_rng(1)
+    hmm = lm_scoring.Hmm.initial(6, np.full(4008, 1 / 4008))
+    seqs = [rng.integers(0, 4008, n) for n in [1000] * 300 + [30] * 3333]
+    (_, trans, emit, total), mb = peak_mb(lambda: lm_scoring.expected_counts(seqs, hmm))
+    assert mb < 60
+    assert np.isclose(trans.sum(), 399_990) and np.isclose(emit.sum(), 399_990)
+    assert np.isclose(total, lm_scoring.log_likelihoods(seqs, hmm).sum())
+
+
+@pytest.mark.parametrize("size, texts, most", [(100_000, 1000, 100), (9, 40, 70)])
+def test_counting_words_takes_little_memory(spark, size, texts, most):
+    """Very long words are handed over before many are held, and many short ones in pieces; no count is lost."""
+
+    class Probe:
+        def mapInPandas(self, f, schema):
+            self.f = f
+            return self
+
+        def select(self, *a):
+            return self
+
+        groupBy = agg = select
+
+    each = 1 if size > 9 else 10_000
+
+    def batches():
+        for i in range(0, texts, 10):
+            yield pd.DataFrame({"t": [" ".join(f"{j:06d}".rjust(size, "x") for j in range(k * each, k * each + each)) for k in range(i, i + 10)]})
+
+    probe = Probe()
+    lm_scoring.word_counts(probe)
+
+    def count():
+        rows = words = chars = 0
+        for out in probe.f(batches()):
+            rows, words, chars = rows + len(out), words + int(out["n"].sum()), chars + int(out["word"].str.len().sum())
+        return rows, words, chars
+
+    (rows, words, chars), mb = peak_mb(count)
+    assert mb < most
+    assert words == texts * each + texts and chars == texts * each * size and rows >= texts * each + 1
+
+
 def test_mixing_edges(docs, labels):
     got = mixing.mixture_rates(docs, labels, columns=("doc_id", "p")).collect()
     assert len(got) == docs.count() and all(r.rate >= 0 for r in got)
