@@ -19,10 +19,11 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ GROUP = 512
 FLUSH, FLUSH_CHARS = 600_000, 32 << 20
 #: Words that a counting task hands over at once at most, and characters after which none is added.
 PIECE, PIECE_CHARS = 50_000, 4 << 20
+#: About how many bytes of text are encoded at once; encoding takes some ten times that.
+SLICE_BYTES = 2 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -104,12 +107,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The frequent words: ids, symbols, log10 of count + 1; and each class's log10 denominator.
+    """The frequent words, their symbols, log10 of count + 1; and each class's log10 denominator.
 
     Symbols from ``own`` on are classes; ``dtype`` names the integers that hold a symbol.
     """
 
-    index: dict[bytes, int]
+    words: list[str]
     symbol: np.ndarray
     log_count: np.ndarray
     log_class: np.ndarray
@@ -142,43 +145,53 @@ def vocabulary(counts: DataFrame, head: int, symbols: int) -> Vocabulary:
     for w, x in zip(names[:own], c[:own], strict=True):
         n[shape_class(w)] -= x
         v[shape_class(w)] -= 1
-    index = {w: i for i, w in enumerate(names)}
     each = np.zeros(slots + N_CLASSES)
     each[:own], each[slots:] = c[:own], n
-    return Vocabulary(index, symbol, np.log10(c + 1.0), np.log10(n + v + 1), each, total, distinct, slots, dtype)
+    return Vocabulary(top["word"].tolist(), symbol, np.log10(c + 1.0), np.log10(n + v + 1), each, total, distinct, slots, dtype)
+
+
+def token_lists(texts: pa.Array) -> pa.Array:
+    """``tokens`` of each text, as strings and with '' for the text's end: all of a batch without a Python object for each."""
+    none, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    t = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), none)))
+    # splitting leaves one '' after a last space, and of an empty text
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(t, none), none, pc.binary_join_element_wise(t, none, space)))
 
 
 def encode(docs: DataFrame, shared, n_own: int) -> DataFrame:
     """Each text's symbols, its sums over frequent words, and its other words for the join."""
 
     def run(batches):
-        index, symbol, log_count, log_class = shared.value
-        get = index.get
-        symbol = np.append(symbol, np.zeros(1, symbol.dtype))  # for words that are not there; replaced below
+        names, symbol, log_count, log_class = shared.value
+        names = pa.array(names, pa.large_string())
+        # the last entry is for words that are not there; their symbols are replaced below
+        symbol, log_count = np.append(symbol, np.zeros(1, symbol.dtype)), np.append(log_count, 0.0)
         for pdf in batches:
-            rows = []
-            for t in pdf["t"]:
-                words = tokens(t)
-                words.append(b"")
-                ids = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            texts = pa.array(pdf["t"], pa.large_string(), from_pandas=True)
+            step = max(1, len(pdf) * SLICE_BYTES // max(1, texts.nbytes))
+            for at in range(0, len(pdf), step):
+                lists = token_lists(texts[at : at + step])
+                n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                words, begin = lists.flatten(), np.cumsum(n) - n  # no text is without tokens
+                ids = pc.fill_null(pc.index_in(words, names), -1).to_numpy()
                 known = ids >= 0
-                sym = symbol[ids]
-                rest = [words[i] for i in np.nonzero(~known)[0].tolist()]
-                sym[~known] = [n_own + shape_class(w) for w in rest]
-                logs = log_count[ids[known]]
-                classed = sym >= n_own
-                rows.append(
-                    (
-                        len(words),
-                        int(known.sum()),
-                        float(logs.sum()),
-                        float(logs[classed[known]].sum() - log_class[sym[classed] - n_own].sum()),
-                        sym.tobytes(),
-                        b" ".join(rest).decode("utf-8", "replace"),
-                    )
-                )
-            out = pd.DataFrame(rows, columns=["n_tokens", "head_known", "head_log", "class_log", "sym", "rest"])
-            yield pd.concat([pdf[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
+                sym, logs = symbol[ids], log_count[ids]
+                rest = words.filter(pa.array(~known)).to_pylist()
+                sym[~known] = [n_own + shape_class(w.encode("utf-8", "surrogatepass")) for w in rest]
+                classed = np.where(sym >= n_own, logs, 0.0)
+                classed[sym >= n_own] -= log_class[sym[sym >= n_own] - n_own]
+                head = np.add.reduceat(known.astype(np.int64), begin)
+                ends = np.cumsum(n - head)
+                out = {
+                    "n_tokens": n,
+                    "head_known": head,
+                    "head_log": np.add.reduceat(logs, begin),
+                    "class_log": np.add.reduceat(classed, begin),
+                    "sym": [sym[i : i + k].tobytes() for i, k in zip(begin.tolist(), n.tolist(), strict=True)],
+                    "rest": [" ".join(rest[j - k : j]) for j, k in zip(ends.tolist(), (n - head).tolist(), strict=True)],
+                }
+                yield pdf[["doc_id", "held_out"]].iloc[at : at + step].assign(**out)
+        pa.default_memory_pool().release_unused()  # the worker lives on and would keep it
 
     schema = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, class_log double, sym binary, rest string"
     return docs.mapInPandas(run, schema)
@@ -394,7 +407,7 @@ def score_documents(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), held_out(id_col, modulus, remainder).alias("held_out"))
     counts = materialize(word_counts(base.filter(~F.col("held_out"))), "counts")
     vocab = vocabulary(counts, head, symbols)
-    shared = spark.sparkContext.broadcast((vocab.index, vocab.symbol, vocab.log_count, vocab.log_class))
+    shared = spark.sparkContext.broadcast((vocab.words, vocab.symbol, vocab.log_count, vocab.log_class))
     encoded = materialize(encode(base, shared, vocab.own).withColumn("rid", F.monotonically_increasing_id()), "encoded")
     rest = encoded.filter(F.col("rest") != "").select("rid", F.explode(F.split("rest", " ")).alias("word"))
     rest = (

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import gc
 import math
 import tracemalloc
 import zlib
@@ -443,6 +444,13 @@ def test_chunked_recursions_are_exact(monkeypatch):
     assert np.isclose(total, sum(slow_forward(s, hmm) for s in seqs))
 
 
+def test_token_lists_are_the_tokens():
+    texts = ["", None, " ", " a\x0b b\x1c\x85c\u2003d  e\t", "É À\x00 b\x1fc\n", "x", "\u00a0 \u3000Ab\r\nC\x0c", "\x0b", "😀 A.B,"]
+    got = lm_scoring.token_lists(pa.array(texts)).to_pylist()
+    assert got == [[*(w.decode() for w in lm_scoring.tokens(t)), ""] for t in texts]
+    assert lm_scoring.token_lists(pa.array([None], pa.string())).to_pylist() == [[""]]
+
+
 def peak_mb(job):
     tracemalloc.start()
     try:
@@ -489,6 +497,8 @@ def test_counting_words_takes_little_memory(spark, size, texts, most):
         rows = words = chars = 0
         for out in probe.f(batches()):
             rows, words, chars = rows + len(out), words + int(out["n"].sum()), chars + int(out["word"].str.len().sum())
+            del out
+            gc.collect()  # tables are freed late otherwise
         return rows, words, chars
 
     (rows, words, chars), mb = peak_mb(count)
@@ -496,6 +506,27 @@ def test_counting_words_takes_little_memory(spark, size, texts, most):
     assert words == texts * each + texts and chars == texts * each * size and rows >= texts * each + 1
 
 
+def test_encoding_takes_little_memory_and_loses_no_row():
+    """A batch is encoded slice by slice, with the result of each text alone."""
+    names = [f"w{i}" for i in range(5000)] + [""]
+    shared = type("Held", (), {"value": (names, np.arange(5001, dtype="<i2"), np.arange(5001) / 7, np.ones(8))})
+    run = lm_scoring.encode(type("Frame", (), {"mapInPandas": lambda self, f, schema: f})(), shared, 5001)
+    texts = [None, "", *(" ".join(f"w{(i * 31 + j) % 5100}" for j in range(500)) for i in range(3000))]
+    pdf = pd.DataFrame({"doc_id": range(len(texts)), "held_out": False, "t": texts})
+    before = pa.total_allocated_bytes()
+    held = []
+    got = pd.concat([held.append(pa.total_allocated_bytes() - before) or out for out in run(iter([pdf]))], ignore_index=True)
+    assert max(held) < 2.5 * sum(len(t or "") for t in texts) + 25e6 and len(held) > 3
+    assert got["doc_id"].tolist() == pdf["doc_id"].tolist()
+    for i in (0, 1, 2, 700, 3001):
+        alone = next(run(iter([pdf[i : i + 1]]))).iloc[0]
+        words = (texts[i] or "").split()
+        rest = [w for w in words if int(w[1:]) >= 5000]
+        assert got.iloc[i].tolist() == alone.tolist()
+        assert (alone.n_tokens, alone.head_known, alone["rest"]) == (len(words) + 1, len(words) + 1 - len(rest), " ".join(rest))
+        assert np.isclose(alone.head_log, (sum(int(w[1:]) for w in words if w not in rest) + 5000) / 7) and np.isclose(alone.class_log, -len(rest))
+
+
 def test_mixing_edges(docs, labels):
     got = mixing.mixture_rates(docs, labels, columns=("doc_id", "p")).collect()
     assert len(got) == docs.count() and all(r.rate >= 0 for r in got)
